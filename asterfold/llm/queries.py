@@ -23,6 +23,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), distance=4, shingle=4)
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asterfold.llm.pieces import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asterfold.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from asterfold.llm.secrets import scan
 
@@ -76,7 +88,7 @@ from s qualify row_number() over (partition by query_id order by score desc, vec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_secrets, op5_packing, op6_token_counts, op7_quality, op8_token_files, op9_nearest, op10_top_scores)}
+    return {f.__name__: f for f in (op1_simhash, op2_pieces, op3_main_text, op4_secrets, op5_packing, op6_token_counts, op7_quality, op8_token_files, op9_nearest, op10_top_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
