@@ -1 +1 @@
-"""Part of asterfold."""
+"""Scalar functions as Column expressions."""
