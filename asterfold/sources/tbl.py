@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from asterfold.schemas import SORT_ORDER, TABLES
 
 
+#: Values stand as they are: no quotes, no escapes, no trimming.
+PLAIN = {"sep": "|", "quote": "", "escape": "", "escapeQuotes": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
+
+
 def read_tbl(spark: SparkSession, path: str, table: str, lenient: bool = False) -> DataFrame:
     """A table from text. A value that is no number fails the read; with lenient it counts as 0.
 
@@ -17,7 +21,7 @@ def read_tbl(spark: SparkSession, path: str, table: str, lenient: bool = False)
     """
     schema = TABLES[table]
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(text if lenient else schema).option("sep", "|").option("quote", "").option("mode", "PERMISSIVE" if lenient else "FAILFAST").csv(path)
+    raw = spark.read.schema(text if lenient else schema).options(**PLAIN).option("mode", "PERMISSIVE" if lenient else "FAILFAST").csv(path)
     columns = []
     for f in schema.fields:
         c = F.col(f.name)
@@ -31,7 +35,7 @@ def read_tbl(spark: SparkSession, path: str, table: str, lenient: bool = False)
 
 def write_tbl(df: DataFrame, path: str) -> None:
     """The table as text files that read_tbl reads."""
-    df.write.option("sep", "|").option("quote", "").option("emptyValue", "").mode("overwrite").csv(path)
+    df.write.options(**PLAIN).mode("overwrite").csv(path)
 
 
 def convert(spark: SparkSession, source: str, target: str, tables=("lineorder", "customer", "supplier", "part", "date"), lenient: bool = False) -> None:
