@@ -48,6 +48,7 @@ class Pieces:
                 self.bytes_of[i] = bytes([value])
             elif not model.is_control(i):
                 self.bytes_of[i] = names[i].replace(SPACE, " ").encode() if not model.is_unknown(i) else " ⁇ ".encode()
+        self.spaced = {i for i in plain if names[i][0] == SPACE}
         self.control = {i for i in range(n) if model.is_control(i)}
         alphabet = sorted({c for i in plain for c in names[i]})
         self.code = {c: k + 1 for k, c in enumerate(alphabet)}
@@ -213,7 +214,7 @@ class Pieces:
         ids = np.frombuffer(raw, "<u4")
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
         lead = next((i for i in ids[:8].tolist() if i not in self.control), None)
-        if lead is not None and self.bytes_of[lead][:1] == b" ":
+        if lead in self.spaced:
             text = text[1:]
         return text.decode("utf-8", "replace")
 
