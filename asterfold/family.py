@@ -1,4 +1,4 @@
-"""Fracture families: a table as an append-only log of immutable Parquet segments, and a catalog of them.
+"""Families: a table as an append-only log of immutable Parquet segments, and a catalog of them.
 
 A family's manifest is a folder of small JSON versions; a version lists the live segments, oldest first. A
 change writes its segment's files first and then adds the next version in one atomic create, which fails if

@@ -515,10 +515,12 @@ def part_color(spark, sf_dir):
 
 
 @query("""select cast(strftime(d, '%Y%m%d') as int) datekey, dayname(d) dayofweek, monthname(d) "month", cast(year(d) as int) "year", cast(year(d) * 100 + month(d) as int) yearmonthnum, strftime(d, '%b%Y') yearmonth, cast(dayofweek(d) + 1 as int) daynuminweek,
- cast(day(d) as int) daynuminmonth, cast(dayofyear(d) as int) daynuminyear, cast(dayofyear(d) // 7 + 1 as int) weeknuminyear, cast(dayofweek(d) = 6 as int) lastdayinweekfl, cast(last_day(d) = cast(d as date) as int) lastdayinmonthfl, cast(dayofweek(d) between 1 and 5 as int) weekdayfl
+ cast(day(d) as int) daynuminmonth, cast(dayofyear(d) as int) daynuminyear, cast(dayofyear(d) // 7 + 1 as int) weeknuminyear, cast(dayofweek(d) = 6 as int) lastdayinweekfl, cast(last_day(d) = cast(d as date) as int) lastdayinmonthfl, cast(dayofweek(d) between 1 and 5 as int) weekdayfl,
+ case when month(d) >= 11 then 'Christmas' when month(d) >= 9 then 'Fall' when month(d) >= 5 then 'Summer' when month(d) = 4 then 'Spring' else 'Winter' end sellingseason,
+ cast(strftime(d, '%m%d') in ('1224', '0101', '0220', '0420', '0520', '0720', '0820', '0920', '1020', '1120') as int) holidayfl
  from (select unnest(generate_series(timestamp '1992-01-01', timestamp '1998-12-30', interval 1 day)) d)""")
 def date_dim(spark, sf_dir):
-    names = ["datekey", "dayofweek", "month", "year", "yearmonthnum", "yearmonth", "daynuminweek", "daynuminmonth", "daynuminyear", "weeknuminyear", "lastdayinweekfl", "lastdayinmonthfl", "weekdayfl"]
+    names = ["datekey", "dayofweek", "month", "year", "yearmonthnum", "yearmonth", "daynuminweek", "daynuminmonth", "daynuminyear", "weeknuminyear", "lastdayinweekfl", "lastdayinmonthfl", "weekdayfl", "sellingseason", "holidayfl"]
     return calendar.date_dimension(spark).select(*(F.col(c).cast("int").alias(c) if t in ("tinyint", "smallint") else c for c, t in calendar.date_dimension(spark).dtypes if c in names))
 
 
