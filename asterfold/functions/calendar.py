@@ -10,6 +10,19 @@ def year_of_month(yearmonthnum: str) -> Column:
     return F.expr(f"cast({yearmonthnum} div 100 as int)")
 
 
+def add_days(day: str, n: int) -> Column:
+    return F.date_add(F.col(day).cast("date"), n)
+
+
+def days_between(later: str, earlier: str) -> Column:
+    return F.datediff(F.col(later), F.col(earlier))
+
+
+def from_key(datekey: str) -> Column:
+    """The day of a yyyymmdd key."""
+    return F.to_date(F.col(datekey).cast("string"), "yyyyMMdd")
+
+
 def week_of_year(day: str) -> Column:
     """Weeks start on January 1st: day of year div 7, plus 1."""
     return F.expr(f"cast(dayofyear({day}) div 7 + 1 as int)")

@@ -6,7 +6,7 @@ table; no generator state is passed between tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The minimal standard generator.
@@ -65,3 +65,8 @@ def weighted(row: Column, salt: str, values: dict[str, int], seed: int = 0) -> C
 def letters(row: Column, salt: str, length: int, seed: int = 0) -> Column:
     """A string of `length` letters and digits."""
     return F.substring(F.concat(*(F.sha2(F.concat_ws("/", row, F.lit(f"{salt}{k}{seed}")), 256) for k in range(-(-length // 64)))), 1, length)
+
+
+def permuted(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """The rows in an order that depends on their key and the seed alone."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)

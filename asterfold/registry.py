@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from asterfold import datagen
 from asterfold.family import Family
-from asterfold.functions import calendar, keys, pricing, text
+from asterfold.functions import calendar, keys, pricing, random, text
 from asterfold.operators import aggregates, columns, integrity, scans
 from asterfold.operators.predicates import SearchCond, search
 from asterfold.plans import delta, mv, ssb
@@ -524,6 +524,63 @@ def date_dim(spark, sf_dir):
     return calendar.date_dimension(spark).select(*(F.col(c).cast("int").alias(c) if t in ("tinyint", "smallint") else c for c, t in calendar.date_dimension(spark).dtypes if c in names))
 
 
+@query("select o_orderkey, cast(cast(o_orderdate as date) + 30 as date) due, cast(date_diff('day', date '1995-01-01', cast(o_orderdate as date)) as int) age from orders")
+def date_arithmetic(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "orders").withColumns({"first": F.lit(19950101)}).withColumn("first_day", calendar.from_key("first"))
+    return rows.select("o_orderkey", calendar.add_days("o_orderdate", 30).alias("due"), calendar.days_between("o_orderdate", "first_day").alias("age"))
+
+
+@query("select o_orderkey, (o_orderkey * 16807 % 2147483647) * 16807 % 2147483647 state from orders")
+def lcg_states(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "orders").select("o_orderkey", random.lcg_step("o_orderkey").alias("one"))
+    return rows.select("o_orderkey", random.lcg_step("one").alias("state"))
+
+
+@query("select p_partkey, coalesce(try_cast(substr(p_brand, 7) as int), 0) number, coalesce(try_cast(p_type as int), 0) junk, rpad(p_brand, 12, ' ') padded from part")
+def text_numbers(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "part").withColumn("tail", F.expr("substr(p_brand, 7)"))
+    return rows.select("p_partkey", keys.to_int("tail").alias("number"), keys.to_int("p_type").alias("junk"), keys.padded("p_brand", 12).alias("padded"))
+
+
+@query("select l_orderkey, l_linenumber from lineitem group by all")
+def insert_dedup(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    family = Family(spark, new_path(spark, "families"), "keys", "keys", keys=["l_orderkey", "l_linenumber"], schema=rows.schema)
+    family.insert(rows.where("l_orderkey % 2 = 0"), dedup=True)
+    family.insert(rows, dedup=True)
+    family.flush()
+    return family.read()
+
+
+@query(f"{STAR} select o, p from (select lo_orderkey o, lo_partkey p from ssb_lineorder where lo_orderkey not between 100 and 199) union all select lo_orderkey, lo_partkey from ssb_lineorder where lo_orderkey between 300 and 349")
+def update_set(spark, sf_dir):
+    rows = views.lineorder(spark, sf_dir).select(F.col("lo_orderkey").alias("orderkey"), F.col("lo_partkey").alias("p"))
+    return datagen.update_set(rows, 100, 200, rows.where("orderkey between 300 and 349")).select(F.col("orderkey").alias("o"), "p")
+
+
+@query("select row_number() over (order by o_orderdate desc, o_orderkey desc) n, o_orderkey from orders")
+def reverse_traverse(spark, sf_dir):
+    rows = columns.with_positions(views.table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"])
+    return rows.select((F.lit(rows.count()) - F.col("pos")).alias("n"), "o_orderkey")
+
+
+@query(None)
+def permuted_orders(spark, sf_dir):
+    return random.permuted(views.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", seed=3)
+
+
+@query(None)
+def random_queries(spark, sf_dir):
+    """Ten random queries' names and how many rows they have."""
+    draw, view = ssb.RandomQueries(7), mv.stored(spark, sf_dir)
+    out = None
+    for number in range(10):
+        name, parameters = draw.draw()
+        one = ssb.run(name, view, **parameters).agg(F.lit(number).alias("number"), F.lit(name).alias("query"), F.count("*").alias("rows"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("select count(*) \"rows\", count(distinct o_orderkey) distinct_keys from orders")
 def key_counts(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").agg(F.count("*").alias("rows"), F.countDistinct("o_orderkey").alias("distinct_keys"))
