@@ -31,7 +31,6 @@ def runs(positioned: DataFrame, column: str, pos: str = "pos") -> DataFrame:
 
     Runs are found part by part; where the last of a part and the first of the next are equal they are one.
     """
-    w = Window.partitionBy("part").orderBy(pos)
     flagged = positioned.select("part", F.col(pos).alias("_pos"), F.col(column).alias("value"))
     w = Window.partitionBy("part").orderBy("_pos")
     changed = F.when(F.lag("_pos").over(w).isNull(), 1).otherwise((~F.lag("value").over(w).eqNullSafe(F.col("value"))).cast("int"))
