@@ -74,22 +74,32 @@ def date(spark: SparkSession) -> DataFrame:
 
 
 def lineorder(spark: SparkSession, scale: float, first_order: int = 0, orders: int | None = None) -> DataFrame:
-    """Lines of `orders` whole orders from order number `first_order` on. Foreign keys are within `scale`'s tables."""
+    """Lines of `orders` whole orders from order number `first_order` on. Foreign keys are within `scale`'s tables.
+
+    An order's lines are made as one array, summed up for its total, and only then exploded: no shuffle.
+    """
     n = row_counts(scale)
-    order, line = F.col("id"), F.col("linenumber")
-    df = spark.range(first_order, first_order + (orders or n["order"])).withColumn("linenumber", F.explode(F.sequence(F.lit(1), uniform(order, "lines", 1, 7, SEED))))
-    each = F.concat_ws("/", order, line)
+    order = F.col("id")
     day = lambda c, salt, last: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), uniform(c, salt, 0, last, SEED)), "yyyyMMdd").cast("int")
-    df = df.withColumns({
-        "orderkey": keys.sparse_key("(id + 1)"), "custkey": uniform(order, "cust", 1, n["customer"], SEED), "partkey": uniform(each, "part", 1, n["part"], SEED), "suppkey": uniform(each, "supp", 1, n["supplier"], SEED),
-        "orderdate": day(order, "date", DAYS - 1), "orderpriority": pick(order, "prio", PRIORITIES, SEED), "shippriority": F.lit("0"), "quantity": uniform(each, "qty", 1, 50, SEED), "discount": uniform(each, "disc", 0, 10, SEED),
-        "tax": uniform(each, "tax", 0, 8, SEED), "commitdate": day(each, "commit", DAYS + 60), "shipmode": pick(each, "mode", MODES, SEED),
-    }).withColumn("_price", pricing.retail_price("partkey"))
-    df = df.withColumn("extendedprice", F.col("quantity") * F.col("_price"))
-    df = df.withColumns({"revenue": pricing.revenue("extendedprice", "discount"), "supplycost": pricing.supply_cost("_price"), "_total": pricing.line_total("extendedprice", "discount", "tax")})
-    # An order has seven lines at most, and they come from one row: the total needs no shuffle by order elsewhere.
-    totals = df.groupBy("id").agg(F.sum("_total").alias("ordertotalprice"))
-    return _typed(df.join(totals, "id"), "lineorder")
+
+    def drawn(line: Column) -> Column:
+        each = F.concat_ws("/", order, line)
+        values = {
+            "linenumber": line, "partkey": uniform(each, "part", 1, n["part"], SEED), "suppkey": uniform(each, "supp", 1, n["supplier"], SEED), "quantity": uniform(each, "qty", 1, 50, SEED), "discount": uniform(each, "disc", 0, 10, SEED),
+            "tax": uniform(each, "tax", 0, 8, SEED), "commitdate": day(each, "commit", DAYS + 60), "shipmode": pick(each, "mode", MODES, SEED),
+        }
+        return F.struct(*(c.alias(k) for k, c in values.items()))
+
+    def priced(line: Column) -> Column:
+        price = pricing.retail_price(line.partkey)
+        return line.withField("extendedprice", line.quantity * price).withField("supplycost", pricing.supply_cost(price))
+
+    lines = F.transform(F.transform(F.sequence(F.lit(1), uniform(order, "lines", 1, 7, SEED)), drawn), priced)
+    df = spark.range(first_order, first_order + (orders or n["order"])).withColumn("_lines", lines)
+    total = F.aggregate("_lines", F.lit(0).cast("long"), lambda sum_, line: sum_ + pricing.line_total(line.extendedprice, line.discount, line.tax))
+    df = df.withColumns({"orderkey": keys.sparse_key("(id + 1)"), "custkey": uniform(order, "cust", 1, n["customer"], SEED), "orderdate": day(order, "date", DAYS - 1), "orderpriority": pick(order, "prio", PRIORITIES, SEED), "shippriority": F.lit("0"), "ordertotalprice": total})
+    df = df.select("*", F.inline("_lines"))
+    return _typed(df.withColumn("revenue", pricing.revenue("extendedprice", "discount")), "lineorder")
 
 
 def tables(spark: SparkSession, scale: float) -> dict[str, DataFrame]:

@@ -1,4 +1,4 @@
-"""Money, in cents; all divisions truncate."""
+"""Money, in cents; all divisions truncate. Arguments are column names or Columns."""
 
 from __future__ import annotations
 
@@ -6,27 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def retail_price(partkey: str) -> Column:
-    k = f"cast({partkey} as bigint)"
-    return F.expr(f"90000 + ({k} div 10) % 20001 + ({k} % 1000) * 100")
+def _long(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-def revenue(price: str, discount: str) -> Column:
-    return F.expr(f"cast({price} as bigint) * (100 - {discount}) div 100")
+def _div(a: Column, n: int) -> Column:
+    return F.call_function("div", a, F.lit(n))
 
 
-def supply_cost(price: str) -> Column:
-    return F.expr(f"6 * cast({price} as bigint) div 10")
+def retail_price(partkey: str | Column) -> Column:
+    k = _long(partkey)
+    return 90000 + _div(k, 10) % 20001 + (k % 1000) * 100
 
 
-def line_total(price: str, discount: str, tax: str) -> Column:
+def revenue(price: str | Column, discount: str | Column) -> Column:
+    return _div(_long(price) * (100 - _long(discount)), 100)
+
+
+def supply_cost(price: str | Column) -> Column:
+    return _div(6 * _long(price), 10)
+
+
+def line_total(price: str | Column, discount: str | Column, tax: str | Column) -> Column:
     """What a line adds to its order's total price."""
-    return F.expr(f"(cast({price} as bigint) * (100 - {discount}) div 100) * (100 + {tax}) div 100")
+    return _div(revenue(price, discount) * (100 + _long(tax)), 100)
 
 
-def discounted(price: str, discount: str) -> Column:
-    return F.col(price).cast("long") * F.col(discount).cast("long")
+def discounted(price: str | Column, discount: str | Column) -> Column:
+    return _long(price) * _long(discount)
 
 
-def profit(revenue_column: str, cost: str) -> Column:
-    return F.col(revenue_column).cast("long") - F.col(cost).cast("long")
+def profit(earned: str | Column, cost: str | Column) -> Column:
+    return _long(earned) - _long(cost)

@@ -148,3 +148,15 @@ def test_batches_continue(spark):
     assert first.join(second, "orderkey", "left_semi").count() == 0
     assert first.select("orderkey").distinct().count() == 100
     assert datagen.update_set(first, 0, 1 << 30, second).count() == second.count()
+
+
+def test_generated_orders_add_up(spark):
+    lines = datagen.lineorder(spark, 0.001, 0, 50)
+    assert "Exchange" not in plan(lines).rpartition("== Physical Plan ==")[2]
+    # Exact integer arithmetic, spelled out.
+    totals = {}
+    for r in lines.collect():
+        assert r["revenue"] == r["extendedprice"] * (100 - r["discount"]) // 100
+        got = totals.setdefault(r["orderkey"], [0, r["ordertotalprice"]])
+        got[0] += r["revenue"] * (100 + r["tax"]) // 100
+    assert len(totals) == 50 and all(a == b for a, b in totals.values())
