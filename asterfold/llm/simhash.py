@@ -228,7 +228,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     """The rows of df that have the smallest id of their group, one row of each; columns as they are."""
     found = near_duplicates(df, id_col, text_col, distance)
     keep, _ = write_table(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")), "keep")
-    joined = df.join(keep, df[id_col].eqNullSafe(keep["_kept"]))
+    # Shuffled at every size: what is kept grows with the corpus.
+    joined = df.join(keep.hint("shuffle_hash"), df[id_col].eqNullSafe(keep["_kept"]))
     single = joined.where("_rows = 1").drop("_kept", "_rows")
     if keep.where("_rows > 1").isEmpty():
         return single
