@@ -11,8 +11,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import compress
 
 import numpy as np
 
@@ -23,7 +25,7 @@ PLAIN_PIECE = re.compile(r"[^ \t\n\r]+")
 CUT_AFTER = re.compile(r"[^ \t\n\r](?=[ \t\n\r])")
 
 #: Pieces that a worker remembers at most, and the longest piece it remembers.
-MEMO_PIECES, MEMO_CHARS = 1_000_000, 48
+MEMO_PIECES, MEMO_CHARS = 1_400_000, 48
 #: Characters handled at once.
 WINDOW = 1_000_000
 
@@ -49,25 +51,38 @@ class Encoder:
     def cuttable(self, text: str) -> bool:
         return self.kind == "plain" or self.kind == "spaced" and not UNUSUAL_SPACE.search(text)
 
-    def pieces(self, text: str) -> list[str]:
-        if not self.cuttable(text):
-            return [text] if text else []
-        return (SPACED_PIECE if self.kind == "spaced" else PLAIN_PIECE).findall(text)
+    def _split(self, texts: list[str]) -> list[list[list[str]]]:
+        """The pieces of each text, by windows."""
+        find = SPACED_PIECE.findall if self.kind == "spaced" else PLAIN_PIECE.findall
+        out = []
+        for t in texts:
+            if not self.cuttable(t):
+                out.append([[t]] if t else [])
+            else:
+                out.append([find(t)] if len(t) <= WINDOW else [find(w) for w in windows(t)])
+        return out
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def each(self, pieces: list[str]) -> Iterator[np.ndarray]:
-        """The ids of every piece. Byte-level pieces are joined to long texts, as they are independent
-        of each other, and the ids dealt back by the bytes that each id stands for."""
+    def each(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of every piece. Byte-level pieces that begin with a space and don't end with one are joined
+        to long texts, as they are independent of each other, and the ids dealt back by the bytes that each id
+        stands for."""
         if self.kind != "spaced":
-            yield from (np.asarray(ids, self.dtype) for ids in self.whole(pieces))
+            yield from map(self.packed, self.whole(pieces))
             return
         for start in range(0, len(pieces), 2_000):
             part = pieces[start : start + 2_000]
             ids = np.asarray(self.whole(["".join(part)])[0], self.dtype)
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
-            yield from np.split(ids, ends[:-1])
+            ends = self.width * (np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in part])) + 1)
+            raw, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                yield raw[at:end]
+                at = end
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
 
     @cached_property
     def sizes(self) -> np.ndarray:
@@ -77,40 +92,39 @@ class Encoder:
             out[i] = len(token)
         return out
 
-    def _learn(self, pieces: set[str], known: dict, make) -> dict:
-        """What `known` lacks of `pieces`; short pieces are remembered."""
+    def _learn(self, split: list[list[list[str]]], known: dict, make) -> dict:
+        """What `known` lacks of the pieces; short pieces are remembered."""
+        pieces = set().union(*(p for parts in split for p in parts))
         missing = [p for p in pieces if p not in known]
         if len(known) + len(missing) > MEMO_PIECES:
             known.clear()
             missing = list(pieces)
         extra = {}
-        solo = [p for p in missing if self.kind == "spaced" and p[0] not in " \t\n\r"]  # begins a text: can't follow another piece
-        joint = [p for p in missing if self.kind != "spaced" or p[0] in " \t\n\r" and p[-1] not in " \t\n\r"]
-        rest = [p for p in missing if self.kind == "spaced" and p[0] in " \t\n\r" and p[-1] in " \t\n\r"]
-        for some, encoded in ((joint, self.each(joint)), (solo + rest, self.whole(solo + rest))):
+        if self.kind == "spaced":
+            inner = [p[0] in " \t\n\r" and p[-1] not in " \t\n\r" for p in missing]
+            joint, apart = list(compress(missing, inner)), [p for p, x in zip(missing, inner, strict=True) if not x]
+        else:
+            joint, apart = missing, []
+        for some, encoded in ((joint, self.each(joint)), (apart, map(self.packed, self.whole(apart)))):
             for piece, ids in zip(some, encoded, strict=True):
                 (known if len(piece) <= MEMO_CHARS else extra)[piece] = make(ids)
         return extra
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian integers of self.width bytes."""
-        for group in grouped(texts):
-            split = [self.pieces(w) for t in group for w in windows(t, self.cuttable(t))]
-            extra = self._learn(set().union(*split), self.memo, lambda ids: np.asarray(ids, self.dtype).tobytes())
+        for split in map(self._split, grouped(texts)):
+            extra = self._learn(split, self.memo, bytes)
             get = self.memo.__getitem__ if not extra else lambda p: extra[p] if p in extra else self.memo[p]
-            joined = iter([b"".join(map(get, pieces)) for pieces in split])
-            for t in group:
-                yield b"".join(next(joined) for _ in windows(t, self.cuttable(t)))
+            for parts in split:
+                yield b"".join([b"".join(map(get, pieces)) for pieces in parts])
 
     def count(self, texts: Iterable[str]) -> Iterator[int]:
         """The number of ids of each text."""
-        for group in grouped(texts):
-            split = [self.pieces(w) for t in group for w in windows(t, self.cuttable(t))]
-            extra = self._learn(set().union(*split), self.counts, len)
+        for split in map(self._split, grouped(texts)):
+            extra = self._learn(split, self.counts, lambda ids: len(ids) // self.width)
             get = self.counts.__getitem__ if not extra else lambda p: extra[p] if p in extra else self.counts[p]
-            sums = iter([sum(map(get, pieces)) for pieces in split])
-            for t in group:
-                yield sum(next(sums) for _ in windows(t, self.cuttable(t)))
+            for parts in split:
+                yield sum(sum(map(get, pieces)) for pieces in parts)
 
 
 def cut_kind(spec: dict) -> str:
@@ -136,10 +150,8 @@ def cut_kind(spec: dict) -> str:
     return ""
 
 
-def windows(text: str, cuttable: bool) -> list[str]:
-    """The text in parts of about WINDOW characters, cut only where pieces end."""
-    if len(text) <= WINDOW or not cuttable:
-        return [text]
+def windows(text: str) -> list[str]:
+    """A text that may be cut, in parts of about WINDOW characters that end where pieces end."""
     parts, at = [], 0
     while len(text) - at > WINDOW and (m := CUT_AFTER.search(text, at + WINDOW)):
         parts.append(text[at : m.end()])
