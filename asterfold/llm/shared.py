@@ -42,6 +42,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """About `most` rows or all, if fewer: those whose columns' hash is in the share of hashes that this many
+    rows fill. The same rows whatever the partitioning; at most twice as many, whatever repeats."""
+    count = df.count()
+    if count <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) < int((1 << 31) * most / count)).limit(2 * most)
+
+
 def id_bounds(df: DataFrame, column: str, rows_per_bucket: int = 2000, most: int = 8192) -> list[int]:
     """Ascending cut points that deal `column` into ranges of about equal row counts (at most `most` ranges).
 
