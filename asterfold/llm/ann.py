@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.llm.blocks import own_places, search
+from asterfold.llm.shared import hash_sample
 
-#: Vectors that the codebooks are fitted on at most (those of the smallest hashes); every row is coded.
+#: Vectors that the codebooks are fitted on (a sample by the hash of their ids); every row is coded.
 SAMPLE = 20_000
 WIDTH, CENTRES, THRESHOLD = 2, 16, 0.2
 #: Candidates of a block that are ranked exactly for each query.
-EXACT = 160
+EXACT = 512
 
 
 def weight(dim: int, threshold: float = THRESHOLD) -> float:
@@ -118,7 +119,7 @@ def meet(q_ids, queries, ids, vectors, k, quantiser: Quantiser, exact: int = EXA
 
 
 def fit(rows: DataFrame, dim: int | None = None) -> Quantiser:
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()["vector"]
+    sample = hash_sample(rows, ["id"], SAMPLE).toPandas().sort_values("id")["vector"]
     dim = dim or max(map(len, sample))
     return Quantiser(np.stack([np.pad(np.asarray(v, float), (0, dim - len(v))) for v in sample]))
 
