@@ -24,6 +24,9 @@ SPACED_PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 PLAIN_PIECE = re.compile(r"[^ \t\n\r]+")
 CUT_AFTER = re.compile(r"[^ \t\n\r](?=[ \t\n\r])")
 
+#: A Latin word, perhaps after a space and before a mark: pre-tokenizers part only the mark from it, normalizers
+#: do no more than lower its case, so that it may go to the library's model directly.
+PLAIN_WORD = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
 #: Pieces that a worker remembers at most, and the longest piece it remembers.
 MEMO_PIECES, MEMO_CHARS = 1_400_000, 48
 #: Characters handled at once.
@@ -41,9 +44,31 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = cut_kind(spec)
+        #: Whether a run of letters is a pre-token of its own.
+        self.by_words = self.kind == "spaced" or self.kind == "plain" and r"|[\p{L}]+|" in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.lowers = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.model = self.library.model
         self.memo: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
 
+    @cached_property
+    def printed(self) -> dict[int, str]:
+        """The characters that byte-level tokens are written in: printable bytes for themselves, others from U+0100 on."""
+        own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = (b for b in range(256) if b not in own)
+        return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+    def word(self, piece: str) -> bytes | None:
+        """The ids of a piece that is a plain word, by the model alone; None for other pieces."""
+        m = PLAIN_WORD.fullmatch(piece)
+        if not m or m[1] and self.kind != "spaced":
+            return None
+        core = m[1] + (m[2].lower() if self.lowers else m[2])
+        ids = [t.id for t in self.model.tokenize(core.encode().decode("latin-1").translate(self.printed))]
+        if m[3]:
+            ids += [t.id for t in self.model.tokenize(m[3])]
+        return self.packed(ids)
+
     @property
     def dtype(self) -> str:
         return f"<u{self.width}"
@@ -100,6 +125,15 @@ class Encoder:
             known.clear()
             missing = list(pieces)
         extra = {}
+        if self.by_words:
+            others = []
+            for p in missing:
+                ids = self.word(p) if len(p) <= MEMO_CHARS else None
+                if ids is None:
+                    others.append(p)
+                else:
+                    known[p] = make(ids)
+            missing = others
         if self.kind == "spaced":
             inner = [p[0] in " \t\n\r" and p[-1] not in " \t\n\r" for p in missing]
             joint, apart = list(compress(missing, inner)), [p for p, x in zip(missing, inner, strict=True) if not x]
@@ -138,7 +172,8 @@ def cut_kind(spec: dict) -> str:
     harmless = {"NFC", "Lowercase", "Replace"}
     replaces = [n for n in (norm or {}).get("normalizers", []) if n["type"] == "Replace"]
     if (
-        steps[0].get("type") == "Split"
+        len(steps) > 1
+        and steps[0].get("type") == "Split"
         and steps[0].get("behavior") == "Removed"
         and steps[0].get("invert")
         and all(s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space") for s in steps[1:])
