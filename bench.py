@@ -15,6 +15,9 @@ from asterfold.plans import ssb
 
 HERE = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+#: Names, comma-separated; all headline queries if empty.
+ONLY = os.environ.get("BENCH_ONLY", "")
 
 
 def main() -> None:
@@ -24,6 +27,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = [*ssb.QUERIES, *(f"mv_{q}" for q in ssb.QUERIES), *(f"delta_{q}" for q in ("q11", "q12", "q13", "q21", "q22", "q23"))]
+    names = ONLY.split(",") if ONLY else names
     queries, seconds = registry.queries(), {}
     began = time.perf_counter()
     queries["mv_q11"](spark, HERE).collect()
@@ -31,7 +35,7 @@ def main() -> None:
     for name in names:
         queries[name](spark, HERE).collect()  # compiles
         times = []
-        for _ in range(3):
+        for _ in range(RUNS):
             at = time.perf_counter()
             queries[name](spark, HERE).collect()
             times.append(time.perf_counter() - at)
