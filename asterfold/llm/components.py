@@ -9,16 +9,21 @@ from asterfold.llm.shared import remove, write_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node hands its smallest neighbour (or itself) to its larger neighbours."""
+    """Each node hands its smallest neighbour (or itself) to its larger neighbours.
+
+    The smallest neighbours are written: a join with a written table has a shuffle of its own on both sides,
+    so that the rows of a node with very many neighbours can be split.
+    """
     both = edges.select("hi", "lo").union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
     least = both.groupBy("hi").agg(F.min("lo").alias("m"))
-    least = least.select("hi", F.least("hi", "m").alias("m"))
+    least, _ = write_table(least.select("hi", F.least("hi", "m").alias("m")), "least")
     return both.where("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands its smallest neighbour to its smaller neighbours and to itself."""
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    edges, _ = write_table(edges, "large")
+    least, _ = write_table(edges.groupBy("hi").agg(F.min("lo").alias("m")), "least")
     moved = edges.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.union(least.select("hi", F.col("m").alias("lo"))).distinct()
 
