@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from asterfold.llm.components import components
 from asterfold.llm.shared import shuffle_width, write_table
@@ -206,6 +207,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long")
 
 
+def _linked(df: DataFrame, id_col: str, text_col: str, distance: int, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, fp) of every row; (fp, first: its smallest id) of distinct fingerprints; (node, root) of linked ones."""
+    table, _ = write_table(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    distinct, _ = write_table(table.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    return table, distinct, components(links(distinct, distance))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id for every row.
 
@@ -214,9 +222,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null texts and those without words have fingerprint zero and link like any other. Repeated rows stay.
     Null ids never name a component unless it has no other id; an empty table gives an empty result.
     """
-    table, _ = write_table(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    distinct, _ = write_table(table.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = components(links(distinct, distance))
+    table, distinct, roots = _linked(df, id_col, text_col, distance, shingle)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     named = rooted.join(least, "root").select("fp", "least")
@@ -224,13 +230,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return table.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _printed(df: DataFrame, text_col: str) -> DataFrame:
+    """df with _print, each row's fingerprint."""
+    text_at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fps = np.array([fingerprint(t) for t in part.column(text_at).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], [*part.schema.names, "_print"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("_print", LongType())]))
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of df that have the smallest id of their group, one row of each; columns as they are."""
-    found = near_duplicates(df, id_col, text_col, distance)
-    keep, _ = write_table(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")), "keep")
+    """One row of each group of near duplicates, whatever its ids are; columns as they are.
+
+    It is a row of the group's smallest id (null only if there is no other) and, of several such fingerprints,
+    the smallest. Only where ids are null or repeated are rows told apart by their fingerprints too, which are
+    then made a second time.
+    """
+    table, distinct, roots = _linked(df, id_col, text_col, distance)
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("row"))
+    keep, _ = write_table(rooted.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.first").alias("_kept"), F.col("row.fp").alias("_fp")), "keep")
     # Shuffled at every size: what is kept grows with the corpus.
-    joined = df.join(keep.hint("shuffle_hash"), df[id_col].eqNullSafe(keep["_kept"]))
-    single = joined.where("_rows = 1").drop("_kept", "_rows")
-    if keep.where("_rows > 1").isEmpty():
+    if table.groupBy("id").count().where("id is null or count > 1").isEmpty():
+        return df.join(keep.drop("_fp").hint("shuffle_hash"), df[id_col] == keep["_kept"]).drop("_kept")
+    same = lambda a, b: a["id"].eqNullSafe(b["_kept"]) & (a["fp"] == b["_fp"])
+    rows, _ = write_table(table.join(keep.hint("shuffle_hash"), same(table, keep)).groupBy("_kept", "_fp").agg(F.count("*").alias("_rows")), "rows")
+    printed = _printed(df, text_col)
+    joined = printed.join(rows.hint("shuffle_hash"), printed[id_col].eqNullSafe(rows["_kept"]) & (printed["_print"] == rows["_fp"]))
+    single = joined.where("_rows = 1").select(*df.columns)
+    if rows.where("_rows > 1").isEmpty():
         return single
-    return single.unionByName(joined.where("_rows > 1").drop("_kept", "_rows").dropDuplicates([id_col]))
+    return single.unionByName(joined.where("_rows > 1").dropDuplicates(["_kept", "_fp"]).select(*df.columns))

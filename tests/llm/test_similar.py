@@ -86,6 +86,20 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_group_whatever_its_ids(spark):
+    """Null and repeated ids name no group: each group keeps one row."""
+    words = lambda k: " ".join(f"v{k}x{i}" for i in range(300))
+    lone = [(None, words(1)), (None, words(2)), (7, words(3)), (7, words(4))]  # four texts, two ids
+    copies = [(None, words(5)), (None, words(5)), (9, words(6)), (None, words(6)), (7, words(6)), (8, words(8)), (8, words(8))]
+    for rows in (lone + copies, [(None, words(2)), (9, words(6)), (None, words(6))], [(None, words(1))] * 3):
+        df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, fp string, id int").repartition(3)
+        kept = simhash.one_of_each(df)
+        assert kept.columns == df.columns
+        got = sorted((r["text"], str(r["doc_id"])) for r in kept.collect())
+        least = {t: min((i is None, i or 0, str(i)) for i, u in rows if u == t)[2] for _, t in rows}
+        assert got == sorted(least.items())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (300, 299)]
     found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
