@@ -94,6 +94,16 @@ def test_held_out_labels(spark, sf_dir):
     assert quality.kept(docs, labels.where("false")).count() == docs.count()
 
 
+def test_threshold_is_inside_the_trusted_range(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    rated = quality.classify(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id").merge(docs.select("doc_id", "text").toPandas(), on="doc_id")
+    held = rated[(rated.quality == 1) & np.array([zlib.crc32(t.encode()) % quality.HELD_OUT == 0 for t in rated.text])]
+    assert len(held)
+    for _, own in held.groupby("lang"):
+        assert own.threshold.iloc[0] <= own.perplexity.max() * (1 + 1e-6)
+
+
 # -- secrets
 
 KEYS = ["password", "PassWD", "secret", "token", "api_key", "ApiKey"]
