@@ -174,6 +174,18 @@ def test_scan_and_redact(spark, detector):
     assert secrets.scan(df.where("false")).count() == 0
 
 
+def test_tokens_deep_in_long_runs(detector):
+    token = "ghp_" + "aZ3kQ9xT7mB5" * 3
+    path = "www.host1.example/" + "path/of/files/" * 4
+    deep, plain = f"see {path}{token} now", f"see {path}more/files/here now"
+    after_hex = f"see {'0123456789abcdef' * 4}/{token} now"
+    found = secrets.spans_of([deep, plain, after_hex], detector)
+    assert secrets.hidden(deep, found[0]) == f"see {path}[SECRET] now" and found[1] == []
+    assert token not in secrets.hidden(after_hex, found[2])
+    a, b = secrets.candidates(deep)[0]
+    assert {x for w in secrets.windows(a, b) for x in range(*w)} == set(range(a, b))
+
+
 def test_hidden_spans():
     assert secrets.hidden("abcdefgh", [(1, 0, 3), (2, 2, 5), (6, 2, 7)]) == "a[SECRET]f[SECRET]h"
 
