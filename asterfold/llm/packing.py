@@ -16,8 +16,13 @@ from asterfold.llm.tokens import encoder
 LENGTH = 4_096
 
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def ended(sizes: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, pa.Array]:
+    """(how many ids each text has with end_id after its own, the ids as one binary value for each text)."""
+    with_end = np.insert(ids, np.cumsum(sizes), end_id)
+    sizes = sizes + 1
+    offsets = np.r_[0, np.cumsum(sizes)] * ids.itemsize
+    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end.tobytes())])
+    return sizes, values.cast(pa.binary())
 
 
 def tokenized(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -27,15 +32,14 @@ def tokenized(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     def run(batches):
         enc = encoder(tokenizer)
         part, at = TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
-                ids = [x + tail for x in enc.encode(t or "" for t in piece.column(1).to_pylist())]
-                sizes = np.array([len(x) // enc.width for x in ids], np.int64)
+            row = 0
+            for sizes, ids in enc.column(batch.column(1)):
+                sizes, ids = ended(sizes, ids, end_id)
                 local = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(local), pa.array(sizes), pa.array(ids, pa.binary()), piece.column(0)], ["part", "local_start", "n_tokens", "ids", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), pa.array(local), pa.array(sizes), ids, batch.column(0).slice(row, len(sizes))], ["part", "local_start", "n_tokens", "ids", "id"])
+                row += len(sizes)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"part int, local_start long, n_tokens long, ids binary, id {id_type}")
 
@@ -47,8 +51,9 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, i
     partitions' totals are summed to global offsets (one number per partition goes to the driver). Pass two
     cuts the one long stream into windows of `length`: a row is the part of a document in one window. Nothing
     is shuffled, so a hot source or a huge document moves no data. Only the very last sequence is short.
-    A null text counts as empty, and is the end id alone; repeated or null ids stay apart as rows. With
-    with_ids the rows also hold their ids (binary, little-endian unsigned 32-bit).
+    A null or empty text is the end id alone; a text of any length is cut into as many pieces as it needs;
+    repeated or null ids stay apart as rows; an empty table gives no rows; other columns are ignored, whatever
+    their names. With with_ids the rows also hold their ids (binary, little-endian unsigned 32-bit).
     """
     id_type = df.schema[id_col].dataType.simpleString()
     ids, _ = write_table(tokenized(df, tokenizer, end_id, id_col, text_col), "ids")
@@ -59,23 +64,25 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, i
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 8 if with_ids else 7]
 
     def run(batches):
-        width = encoder(tokenizer).dtype
+        kind = encoder(tokenizer).dtype
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            owners = []
-            for i, (part, local, n, raw) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-                values = np.frombuffer(raw, width).astype("<u4")
-                at, done = sent.value[part] + local, 0
-                while done < n:
-                    take = min(n - done, length - at % length)
-                    piece = values[done : done + take]
-                    owners.append(i)
-                    row = (done, take, crc(piece), n, at // length, at % length, piece.tobytes())
-                    for col, value in zip(cols[1:], row, strict=False):
-                        col.append(value)
-                    at, done = at + take, done + take
-            arrays = [batch.column(4).take(pa.array(owners, pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:7])]
-            yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(cols[7], pa.binary())] if with_ids else [])], names)
+            for row in range(0, batch.num_rows, 512):
+                part = batch.slice(row, 512)
+                size = part.column(2).to_numpy()
+                begin = np.array([sent.value[p] for p in part.column(0).to_pylist()], np.int64) + part.column(1).to_numpy()
+                window = begin // length
+                count = (begin + size - 1) // length - window + 1
+                owner = np.repeat(np.arange(len(size)), count)
+                window = window[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                a = np.maximum(begin[owner], window * length)
+                b = np.minimum((begin + size)[owner], (window + 1) * length)
+                # The ids of the whole slice are one array; a piece is a stretch of it.
+                values = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part.column(3)]).astype("<u4")
+                place = (np.cumsum(size) - size)[owner] + a - begin[owner]
+                pieces = [values[i : i + n].data.cast("B") for i, n in zip(place.tolist(), (b - a).tolist(), strict=True)]
+                columns = [a - begin[owner], b - a, np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces)), size[owner], window, a - window * length]
+                arrays = [part.column(4).take(pa.array(owner)), *map(pa.array, columns)]
+                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(map(bytes, pieces), pa.binary())] if with_ids else [])], names)
 
     schema = f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return ids.select("part", "local_start", "n_tokens", "ids", "id").mapInArrow(run, schema).withColumnRenamed("id", id_col)
