@@ -21,13 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from asterfold.llm.packing import ended
 from asterfold.llm.shared import id_bounds, remove, scratch_path, shuffle_width, write_table
 from asterfold.llm.tokens import encoder
 
 MAGIC, HEAD = b"AFH1", struct.Struct("<4sQIII")
 BLOCK, STEP, MAX_BITS = 65_536, 128, 16
 RECORD_IDS = 1 << 19
+#: What null ids count as when ranges are cut.
+LEAST = -(1 << 63)
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -95,20 +99,37 @@ class Codebook:
         head = HEAD.pack(MAGIC, len(ids), block, step, len(offsets))
         return b"".join([head, np.array(offsets, "<u8").tobytes(), *(m.tobytes() for m in marks), *payload])
 
-    def decode(self, data: bytes) -> np.ndarray:
-        """All ids; the stretches between checkpoints are decoded side by side, a table look-up for each id."""
+    @staticmethod
+    def layout(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, int]:
+        """(step, ids and byte offset of every block, bit offset of every checkpoint, where the payload begins)."""
         magic, n, block, step, blocks = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a block of this format")
-        if not n:
-            return np.zeros(0, np.uint32)
         at = HEAD.size
         offsets = np.frombuffer(data, "<u8", blocks, at).astype(np.int64)
         at += 8 * blocks
         sizes = np.minimum(block, n - block * np.arange(blocks))
+        marks = np.frombuffer(data, "<u4", int((-(-sizes // step)).sum()), at).astype(np.int64)
+        return step, sizes, offsets, marks, at + 4 * len(marks)
+
+    def decode(self, data: bytes) -> np.ndarray:
+        """All ids of a record."""
+        step, sizes, offsets, marks, at = self.layout(data)
+        return self._decode(np.frombuffer(data, np.uint8, offset=at), offsets, sizes, marks, step)
+
+    def decode_block(self, data: bytes, number: int) -> np.ndarray:
+        """The ids of one block, from its own bytes alone."""
+        step, sizes, offsets, marks, at = self.layout(data)
+        lanes = np.r_[0, np.cumsum(-(-sizes // step))]
+        end = at + int(offsets[number + 1]) if number + 1 < len(offsets) else len(data)
+        raw = np.frombuffer(data[at + int(offsets[number]) : end], np.uint8)
+        return self._decode(raw, np.zeros(1, np.int64), sizes[number : number + 1], marks[lanes[number] : lanes[number + 1]], step)
+
+    def _decode(self, raw: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, marks: np.ndarray, step: int) -> np.ndarray:
+        """The stretches between checkpoints are decoded side by side, a table look-up for each id."""
+        if not len(sizes):
+            return np.zeros(0, np.uint32)
         lanes = -(-sizes // step)
-        marks = np.frombuffer(data, "<u4", int(lanes.sum()), at).astype(np.int64)
-        raw = np.frombuffer(data, np.uint8, offset=at + 4 * len(marks))
         pad = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint32)
         wide = pad[:-2] << 16 | pad[1:-1] << 8 | pad[2:]
         bit = marks + 8 * np.repeat(offsets, lanes)
@@ -124,54 +145,80 @@ class Codebook:
         return out.T[np.arange(step) < keep[:, None]]
 
 
+def bucket_of(keys: np.ndarray, cuts: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The range of the ascending `cuts` that each key is in. A cut that is there several times is a key of so
+    many rows that they fill several ranges; those rows are dealt among them by salt."""
+    low, high = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
+    return np.where(high - low > 1, low + 1 + salt % np.maximum(1, high - low), high).astype(np.int32)
+
+
 def tokenized(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, cuts: list) -> DataFrame:
-    """bucket, id, n_tokens, ids. bucket: the range of `cuts` that the id is in; null ids come first of all."""
+    """bucket, id, n_tokens, ids, counts. bucket: the range of `cuts` that the id is in; null ids come first of
+    all. Besides its documents each task gives one row of bucket -1: how often each id of the vocabulary
+    occurred in the task, as 64-bit integers."""
     id_type = df.schema[id_col].dataType.simpleString()
     bounds = np.array(cuts, np.int64)
+    names = ["bucket", "id", "n_tokens", "ids", "counts"]
 
     def run(batches):
         enc = encoder(tokenizer)
-        tail = np.array([end_id], enc.dtype).tobytes()
+        vocabulary = max(enc.vocabulary, end_id + 1)
+        total = np.zeros(vocabulary, np.int64)
+        kind = None
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
-                ids = [x + tail for x in enc.encode(t or "" for t in piece.column(1).to_pylist())]
-                keys = piece.column(0).fill_null(np.iinfo(np.int64).min) if piece.column(0).null_count else piece.column(0)
-                bucket = np.searchsorted(bounds, keys.to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), piece.column(0), pa.array([len(x) // enc.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["bucket", "id", "n_tokens", "ids"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"bucket int, id {id_type}, n_tokens long, ids binary")
-
-
-def id_counts(table: DataFrame, vocabulary: int, width: str) -> np.ndarray:
-    """How often each id occurs. Every task sums its own; the driver gets a number for each id of the vocabulary."""
+            row, kind = 0, batch.column(0).type
+            for sizes, ids in enc.column(batch.column(1)):
+                total += np.bincount(ids, minlength=vocabulary)
+                total[end_id] += len(sizes)
+                own = batch.column(0).slice(row, len(sizes))
+                row += len(sizes)
+                keys = own.cast(pa.int64()).fill_null(LEAST).to_numpy(zero_copy_only=False)
+                sizes, ids = ended(sizes, ids, end_id)
+                salt = np.fromiter((zlib.crc32(x.as_buffer()) for x in ids), np.int64, len(ids)) if len(cuts) > len(set(cuts)) else np.zeros(len(ids), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(keys, bounds, salt)), own, pa.array(sizes), ids, pa.nulls(len(sizes), pa.binary())], names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, kind), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"bucket int, id {id_type}, n_tokens long, ids binary, counts binary")
+
+
+def id_counts(table: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs. Tasks add up the counts of the tasks before; the driver gets a number for each
+    id of the vocabulary."""
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), width), minlength=vocabulary)
+                total += np.frombuffer(raw.as_buffer(), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["token", "n"])
 
-    rows = table.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = table.where("bucket = -1").select("counts").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(vocabulary, np.int64)
-    out[rows["token"].to_numpy()] = rows["n"].to_numpy()
+    out[rows["token"].to_numpy(int)] = rows["n"].to_numpy(np.int64)
     return out
 
 
 def write(df: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", step: int = STEP, block: int = BLOCK) -> None:
     """Encodes every text, appends end_id, and writes all ids to `path` in ascending order of id_col.
 
-    Null texts count as empty (the end id alone); rows with a null id come first; rows of equal id follow
-    each other in the order of their ids. Documents meet in ranges of the id column: sorted streams, of which
-    a task holds one record at a time, so that neither a hot range nor a huge document is gathered.
+    id_col holds whole numbers. Null and empty texts are the end id alone; rows with a null id come first; rows
+    of equal id follow each other, in the order of their ids unless they are so many that they fill several
+    ranges. An empty table gives a file set without records; other columns are ignored, whatever their names.
+    Documents meet in ranges of the id column, dealt to tasks in ascending order, so that part files ascend too:
+    sorted streams, of which a task holds one record at a time, so that neither a hot range nor a document of
+    any length is gathered with others.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col}: whole numbers")
     enc = encoder(tokenizer)
     vocabulary, width = max(enc.vocabulary, end_id + 1), enc.dtype
-    table, scratch = write_table(tokenized(df, tokenizer, end_id, id_col, text_col, id_bounds(df, id_col)), "ids")
-    lengths = code_lengths(id_counts(table, vocabulary, width))
+    cuts = id_bounds(df, id_col)
+    written, scratch = write_table(tokenized(df, tokenizer, end_id, id_col, text_col, cuts), "ids")
+    lengths = code_lengths(id_counts(written, vocabulary))
+    table = written.where("bucket >= 0").drop("counts")
     totals = table.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).orderBy("bucket").collect()
     ends = np.cumsum([r["n"] for r in totals], dtype=np.int64)
     offsets = {r["bucket"]: int(e) - r["n"] for r, e in zip(totals, ends, strict=True)}
@@ -207,7 +254,8 @@ def write(df: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str
                 held_ids += len(held[-1][1]) // enc_width
         yield from flush()
 
-    dealt = table.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "ids")
+    tasks = shuffle_width(spark)
+    dealt = table.repartitionById(tasks, (F.col("bucket").cast("long") * tasks / F.lit(len(cuts) + 1)).cast("int")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "ids")
     records = dealt.select("bucket", "id", "ids").mapInArrow(run, f"bucket int, record long, start long, ids array<{id_type}>, tokens array<long>, data binary")
     records.write.option("compression", "none").parquet(f"{path}/records")
     used = np.flatnonzero(lengths)
@@ -216,7 +264,8 @@ def write(df: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """One row per document of a file set: id_col, start, n_tokens, ids_crc32 (and ids, little-endian u32)."""
+    """One row per document of a file set: id_col, start, n_tokens, ids_crc32 (and ids, little-endian u32).
+    Null and repeated ids come back as they were written; a set without records gives no rows."""
     rows = spark.read.parquet(f"{path}/codebook").toPandas()  # at most one row per id of the vocabulary
     lengths = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.uint8)
     lengths[rows["id"].to_numpy(int)] = rows["length"].to_numpy()
@@ -242,7 +291,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool
 
 
 def round_trip(df: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes a file set to the shared folder and reads it back."""
+    """Writes a file set to the shared folder and reads it back: see write and read for nulls, empty and very
+    long texts, ties, repeated rows, empty tables and clashing columns."""
     path = scratch_path(df.sparkSession, "token_files")
     write(df, tokenizer, path, end_id, id_col, text_col)
     return read(df.sparkSession, path, id_col)

@@ -51,15 +51,12 @@ def hash_sample(df: DataFrame, columns: list[str], most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) < int((1 << 31) * most / count)).limit(2 * most)
 
 
-def id_bounds(df: DataFrame, column: str, rows_per_bucket: int = 2000, most: int = 8192) -> list[int]:
-    """Ascending cut points that deal `column` into ranges of about equal row counts (at most `most` ranges).
-
-    The ranges are only a way to deal rows out: results don't depend on where the cuts fall.
-    """
-    count = df.count()
-    n = max(1, min(most, -(-count // rows_per_bucket)))
+def id_bounds(df: DataFrame, column: str, rows_per_range: int = 2000) -> list[int]:
+    """Ascending cut points that deal a column of whole numbers into ranges of about equal row counts, four for
+    each task of a shuffle at most. Null counts as the least number. A value of very many rows is there several
+    times. The ranges are only a way to deal rows out: results don't depend on where the cuts fall."""
+    n = max(1, min(4 * shuffle_width(df.sparkSession), -(-df.count() // rows_per_range)))
     if n == 1:
         return []
     shares = [k / n for k in range(1, n)]
-    cuts = df.agg(F.percentile_approx(column, shares, 10_000)).head()[0] or []
-    return sorted(set(cuts))
+    return sorted(df.agg(F.percentile_approx(F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63))), shares, max(10_000, 10 * n))).head()[0] or [])

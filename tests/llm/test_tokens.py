@@ -17,9 +17,8 @@ EDGES = [
 ]
 
 
-def fuzz(n=300, seed=3):
+def fuzz(n=300, seed=3, alphabet="abcde  \n\t.,'’é日😀0\xa0̈<|>T"):
     rng = random.Random(seed)
-    alphabet = "abcde  \n\t.,'’é日😀0\xa0̈<|>T"
     return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(n)]
 
 
@@ -39,15 +38,14 @@ def documents(spark, rows=ROWS):
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_pieces_are_exact(path):
     library, enc = Tokenizer.from_file(path), tokens.Encoder(path)
-    texts = EDGES + fuzz()
+    texts = EDGES + fuzz() + fuzz(2000, 4, "strevmldSTREVMLD''  \n1éÉ×.") + fuzz(300, 5, "'s <|endoftext|>ENDOF") + ["a<|endoftext|>'s <|ENDOFTEXT|>", "'", "x '", "'s", "It'S 'LL", "Größe ÀÉÎÕÜ ÿþ ÷×ß", "don''t  '\n'll"]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # without and with what was remembered
         assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
         assert list(enc.count(texts)) == list(map(len, want))
 
 
-def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_PIECES", 50)
+def test_small_windows(monkeypatch):
     monkeypatch.setattr(tokens, "WINDOW", 40)
     enc, library = tokens.Encoder(BYTE), Tokenizer.from_file(BYTE)
     texts = fuzz(100) + ["word " * 100]
@@ -118,7 +116,10 @@ def test_blocks_decode(block, step):
     np.add.at(counts, ids, 1)
     book = huffman.Codebook(huffman.code_lengths(counts))
     for n in (0, 1, 7, 8, 64, 65, 127, 5000):
-        assert book.decode(book.encode(ids[:n], block, step)).tolist() == ids[:n].tolist()
+        data = book.encode(ids[:n], block, step)
+        assert book.decode(data).tolist() == ids[:n].tolist()
+        for k in range(-(-n // block)):  # each block alone
+            assert book.decode_block(data, k).tolist() == ids[:n][k * block : (k + 1) * block].tolist()
     with pytest.raises(ValueError):
         book.encode(np.flatnonzero(counts == 0)[:1])
 
@@ -135,6 +136,26 @@ def test_token_files(spark, monkeypatch, record):
     assert huffman.round_trip(documents(spark, []), BYTE).count() == 0
 
 
+def test_token_files_ascend(spark, tmp_path):
+    """Part files, in the order of their names, and records in them hold ascending ids; a hot id is split."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(12_000).select(F.when(F.col("id") % 3 == 0, 7_000).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    huffman.write(rows, BYTE, f"file://{tmp_path}/set")
+    records = spark.read.parquet(f"file://{tmp_path}/set/records").select("bucket", "start", "ids", F.col("_metadata.file_name").alias("file")).toPandas()
+    records = records.sort_values("start")
+    assert records.file.tolist() == sorted(records.file) and records.file.nunique() > 2
+    flat = np.concatenate(records.ids.tolist())
+    assert (np.diff(flat) >= 0).all() and len(flat) == 12_000
+    assert records[[7_000 in x for x in records.ids]].bucket.nunique() > 1
+
+
+def test_hot_keys_fill_several_ranges():
+    cuts = np.array([3, 5, 5, 5, 9])
+    keys, salt = np.array([1, 3, 4, 5, 5, 5, 5, 6, 9, 10]), np.array([0, 1, 2, 0, 1, 2, 3, 7, 8, 9])
+    assert huffman.bucket_of(keys, cuts, salt).tolist() == [0, 1, 1, 2, 3, 4, 2, 4, 5, 5]
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
