@@ -8,17 +8,19 @@ coded by 4 bits; a scan adds up table entries, and the best of it are ranked aga
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asterfold.llm.blocks import own_places, search
-from asterfold.llm.shared import hash_sample
+from asterfold.llm import blocks
+from asterfold.llm.shared import hash_sample, write_table
 
 #: Vectors that the codebooks are fitted on (a sample by the hash of their ids); every row is coded.
 SAMPLE = 20_000
 WIDTH, CENTRES, THRESHOLD = 2, 16, 0.2
-#: Candidates of a block that are ranked exactly for each query.
-EXACT = 512
+#: Vectors that are ranked exactly for each query, for each doubling of the table, and codes that meet a block of
+#: queries at once.
+RERANK, CODES = 50, 1 << 20
 
 
 def weight(dim: int, threshold: float = THRESHOLD) -> float:
@@ -98,43 +100,99 @@ class Quantiser:
         return out
 
 
-def meet(q_ids, queries, ids, vectors, k, quantiser: Quantiser, exact: int = EXACT):
-    scores = quantiser.scan(queries, quantiser.pack(vectors)).T.astype(np.int64)
-    # Equal sums (copies of one vector, above all) keep the smaller ids, which come first here.
-    keys = scores * (len(ids) + 1) - np.arange(len(ids))
-    keys[own_places(q_ids, ids)] = np.iinfo(np.int64).min
-    take = min(max(exact, k), len(ids))
-    near = np.argpartition(keys, len(ids) - take, axis=1)[:, len(ids) - take :]
-    others = np.take_along_axis(keys, near, axis=1) != np.iinfo(np.int64).min
-    rows, found, best = [], [], []
-    for at in range(0, len(queries), 128):
-        some = near[at : at + 128]
-        true = np.einsum("qrd,qd->qr", vectors[some], queries[at : at + 128])
-        order = np.lexsort((ids[some], -true, ~others[at : at + 128]), axis=1)[:, :k]
-        keep = np.take_along_axis(others[at : at + 128], order, axis=1)
-        rows.append((np.arange(len(some))[:, None] + at + np.zeros_like(order))[keep])
-        found.append(ids[np.take_along_axis(some, order, axis=1)][keep])
-        best.append(np.take_along_axis(true, order, axis=1)[keep])
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(best)
-
-
-def fit(rows: DataFrame, dim: int | None = None) -> Quantiser:
+def scan_best(quantiser: Quantiser, queries: np.ndarray, packed: np.ndarray, keep: int, rows: int = 8_192, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, keep): places of the largest sums and the sums, stretch by stretch of the codes; of equal sums
+    those met first. Places are -1 where there are fewer codes."""
+    places, sums = np.full((len(queries), keep), -1), np.full((len(queries), keep), -1)
+    for q in range(0, len(queries), at_once):
+        best_at, best = places[q : q + at_once], sums[q : q + at_once]
+        for start in range(0, len(packed), rows):
+            new = quantiser.scan(queries[q : q + at_once], packed[start : start + rows]).T.astype(np.int64)
+            both = np.concatenate([best, new], axis=1)
+            # The sum, and among equals the place.
+            key = both * both.shape[1] + np.arange(both.shape[1])[::-1]
+            top = np.argpartition(key, both.shape[1] - keep, axis=1)[:, both.shape[1] - keep :]
+            top.sort(axis=1)
+            at = np.concatenate([best_at, np.broadcast_to(np.arange(start, start + new.shape[1]), new.shape)], axis=1)
+            best_at, best = np.take_along_axis(at, top, axis=1), np.take_along_axis(both, top, axis=1)
+        places[q : q + at_once], sums[q : q + at_once] = best_at, best
+    return places, sums
+
+
+def fit(rows: DataFrame, dim: int) -> Quantiser:
     sample = hash_sample(rows, ["id"], SAMPLE).toPandas().sort_values("id")["vector"]
-    dim = dim or max(map(len, sample))
     return Quantiser(np.stack([np.pad(np.asarray(v, float), (0, dim - len(v))) for v in sample]))
 
 
-def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """id (the smallest of a vector's), ids (its k + 1 smallest, ascending), vector: a row for each different
+    vector. No more of a vector's ids can be among a query's k nearest, its own left out."""
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    few = rows.withColumn("place", place).where(F.col("place") <= k + 1)
+    return few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "vector")
+
+
+def coded(stock: DataFrame, sent, dim: int, size: int, count: int) -> tuple[DataFrame, int]:
+    """block, ids, codes: every vector's codes, one row for each block of about `size` vectors."""
+
+    def code(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                codes = sent.value.pack(blocks.matrix(part.column(1), dim, float))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "codes"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": [table.column("id").to_numpy().tobytes()], "codes": [b"".join(table.column("codes").to_pylist())]})
+
+    n = max(1, -(-count // size))
+    dealt = stock.select("id", "vector").mapInArrow(code, "id long, codes binary").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    return dealt.groupBy("block").applyInArrow(run, "block int, ids binary, codes binary"), n
+
+
+def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for every id divisible by `every`.
 
+    Every vector is coded once. The codes, packed, meet the queries; each query keeps its `rerank` largest sums
+    over all blocks (RERANK for each doubling of the table, unless given), and only their vectors are fetched
+    and ranked exactly. Copies of one vector are coded and
+    ranked once, however many, and stand for their ids at the end.
+
     Scores are exact inner products in double precision of the original vectors; ties go to smaller ids; with
-    fewer candidates all are returned. Vectors null, zero, empty or with null or non-finite components take
-    no part, nor do null ids. An id stands for one vector (see blocks.usable); shorter vectors count as
-    filled up with zeros; other columns are ignored.
+    fewer candidates all are returned; an empty table gives no rows. Vectors null, zero, empty or with null or
+    non-finite components take no part, nor do null ids. An id stands for one vector (see blocks.usable), so
+    that repeated rows count once; shorter vectors count as filled up with zeros; other columns are ignored,
+    whatever their names.
     """
-    size = F.size(vector_col)
-
-    def prepare(rows: DataFrame) -> Quantiser:
-        return fit(rows, rows.agg(F.max(F.size("vector"))).head()[0])
-
-    return search(df.where(size > 0), every, k, meet, id_col, vector_col, zero=False, score="double", prepare=prepare)
+    spark = df.sparkSession
+    rows, _ = write_table(blocks.usable(df, id_col, vector_col, zero=False), "vectors")
+    count, asked, dim = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.coalesce(F.max(F.size("vector")), F.lit(0))).head()
+    sent = spark.sparkContext.broadcast(fit(rows, dim) if count else None)
+    kind = blocks.kind_of(rows, "vector")
+    stock, _ = write_table(distinct(rows, k), "distinct")
+    codes = coded(stock, sent, dim, CODES, count)
+    queries = rows.where(F.col("id") % every == 0)
+    asking = blocks.packed(queries, asked, blocks.query_size(rows, asked), dim)
+    # A query's own vector may be among the best, and is left out only once its ids are known.
+    keep = max(rerank or RERANK * count.bit_length(), k) + 1
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q_ids, ids = blocks.read(left, "q_ids", np.int64), blocks.read(right, "ids", np.int64)
+        packed = blocks.read(right, "codes", np.uint8).reshape(len(ids), -1)
+        places, sums = scan_best(sent.value, blocks.read(left, "q_vectors", kind, dim), packed, min(keep, len(ids)))
+        return pa.table({"query_id": np.repeat(q_ids, places.shape[1]), "vec_id": ids[places.ravel()], "score": sums.ravel()})
+
+    found = blocks.ranked(blocks.met(*asking, *codes, run, "query_id long, vec_id long, score long"), keep)
+    pairs, _ = write_table(found.select("query_id", F.col("vec_id").alias("id")), "pairs")
+
+    def exact(batches):
+        for batch in batches:
+            left, right = (blocks.matrix(batch.column(i), dim, float) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", left, right))], ["query_id", "ids", "score"])
+
+    # Shuffled at every size: pairs grow with the queries, vectors with the table.
+    full = pairs.join(stock.select("id", "ids", "vector").hint("shuffle_merge"), "id")
+    full = full.join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q_vector")).hint("shuffle_merge"), "query_id")
+    scored = full.select("query_id", "ids", "vector", "q_vector").mapInArrow(exact, "query_id long, ids array<long>, score double")
+    return blocks.ranked(scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id"), k)

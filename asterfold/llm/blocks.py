@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asterfold.llm.shared import write_table
+from asterfold.llm.shared import shuffle_width
 
-CANDIDATES, QUERIES = 8_192, 1_024
+#: Candidates of a block, and the least and most queries of one.
+CANDIDATES, LEAST_QUERIES, QUERIES = 32_768, 128, 8_192
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
@@ -34,53 +35,57 @@ def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame
     return rows.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
+def matrix(lists: pa.Array, dim: int, kind: type) -> np.ndarray:
+    """Lists of numbers as rows of a matrix; shorter ones are filled up with zeros."""
+    out = np.zeros((len(lists), dim), kind)
+    out[np.arange(dim) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def kind_of(rows: DataFrame, column: str) -> type:
+    """What numbers the vectors hold; they travel as such."""
+    return np.float32 if rows.schema[column].dataType.elementType.simpleString() == "float" else np.float64
+
+
 def packed(rows: DataFrame, count: int, size: int, dim: int) -> tuple[DataFrame, int]:
-    """block, ids, vectors: one row for each block, ids ascending; shorter vectors are filled up with zeros."""
-    blocks = max(1, -(-count // size))
+    """block, ids, vectors: one row for each block of about `size` rows, ids ascending."""
+    blocks, kind = max(1, -(-count // size)), kind_of(rows, "vector")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids = table.column("id").to_numpy()
-        lists = table.column("vector").combine_chunks()
-        lengths = np.diff(lists.offsets.to_numpy())
-        vectors = np.zeros((len(ids), dim))
-        vectors[np.arange(dim) < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+        table = table.sort_by("id").combine_chunks()
+        vectors = matrix(table.column("vector").chunk(0), dim, kind)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": [table.column("id").to_numpy().tobytes()], "vectors": [vectors.tobytes()]})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInArrow(run, "block int, ids binary, vectors binary"), blocks
 
 
-def search(df: DataFrame, every: int, k: int, meet: Callable, id_col: str, vector_col: str, zero: bool, score: str, prepare: Callable = lambda rows: None) -> DataFrame:
-    """query_id, rank, vec_id, score of the best k candidates of every query (ids divisible by `every`).
+def query_size(rows: DataFrame, asked: int) -> int:
+    """Queries of a block: so few that small tables keep all tasks busy, so many that candidates move seldom."""
+    return min(QUERIES, max(LEAST_QUERIES, -(-asked // (2 * shuffle_width(rows.sparkSession)))))
 
-    meet(query ids, query vectors, ids, vectors, k, what prepare(rows) returned) -> (query index, id, score).
-    """
-    spark = df.sparkSession
-    rows, _ = write_table(usable(df, id_col, vector_col, zero), "vectors")
-    count, asked, dim = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.coalesce(F.max(F.size("vector")), F.lit(0))).head()
-    sent = spark.sparkContext.broadcast(prepare(rows) if count else None)
-    stock, blocks = packed(rows, count, CANDIDATES, dim)
-    asking, groups = packed(rows.where(F.col("id") % every == 0), asked, QUERIES, dim)
+
+def met(asking: DataFrame, groups: int, stock: DataFrame, blocks: int, run: Callable, schema: str) -> DataFrame:
+    """run(query block, candidate block) -> table, for each pair of blocks."""
     stock = stock.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asking = asking.select(F.col("block").alias("asking"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    schema = f"query_id long, vec_id long, score {score}"
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64() if score == "double" else pa.int64())})
-        read = lambda t, c, kind: np.frombuffer(t.column(c)[0].as_py(), kind)
-        q_ids, ids = read(left, "q_ids", np.int64), read(right, "ids", np.int64)
-        at, found, scores = meet(q_ids, read(left, "q_vectors", float).reshape(-1, dim), ids, read(right, "vectors", float).reshape(-1, dim), k, sent.value)
-        return pa.table({"query_id": q_ids[at], "vec_id": found, "score": scores})
-
-    best = asking.groupBy("asking", "block").cogroup(stock.groupBy("asking", "block")).applyInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asking = asking.withColumnsRenamed({"block": "asking", "ids": "q_ids", "vectors": "q_vectors"}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = [(part.split()[0], pa.int64() if part.split()[1] == "long" else pa.float64()) for part in schema.split(", ")]
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            return run(left, right)
+        return pa.table({n: pa.array([], t) for n, t in names})
+
+    return asking.groupBy("asking", "block").cogroup(stock.groupBy("asking", "block")).applyInArrow(both, schema)
+
 
+def read(table: pa.Table, column: str, kind: type, dim: int = 0) -> np.ndarray:
+    """The numbers of a block's column; rows of `dim` as doubles."""
+    out = np.frombuffer(table.column(column)[0].as_py(), kind)
+    return out.reshape(-1, dim).astype(float) if dim else out
 
-def own_places(q_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query index, candidate index) of the queries that are in this block themselves."""
-    at = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)
-    q = np.flatnonzero(ids[at] == q_ids)
-    return q, at[q]
+
+def ranked(best: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest scores of each query, ties to smaller ids."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,89 +1,155 @@
 """Exact top-k by integer inner product, with no-random-access aggregation over sorted lists.
 
-In each meeting of a block of queries and a block of candidates every component is a list of the candidates,
-sorted by their value. A query reads the list of a component from its upper end if its own component is
-positive, from the lower end if negative, all lists to the same depth at a time. What a candidate's unread
-components can add is bounded by the last value read of their lists (upper bound) and by the lists' far ends
-(lower bound). A query stops when all but a few candidates have upper bounds under the k-th largest lower
-bound, and the final scores of those few are resolved.
+In a block of candidates every component is a list of the candidates, sorted by their value. What a candidate
+has in a list, times the query's component, is its part of the score; lists are read from the end of large
+parts on, entry by entry and never at a candidate's own place.
+
+For a query, the gap of a list is what separates the last part read from the least part of all. The lists are
+read in rounds, in each so far that all gaps are at most a common level: lists that matter little to a query are
+read late or never. A candidate's lower bound is what was read of it, and the least part of each other list; its
+upper bound adds the level for each list it hasn't been met in. Both need nothing but sums and counts over the
+entries that were newly read. A query stops when all but a few candidates have upper bounds under the k-th
+largest lower bound; the final scores of those few are resolved.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from asterfold.llm.blocks import own_places, search
+from asterfold.llm import blocks
+from asterfold.llm.shared import write_table
 
 SCALE = 64
-#: Depths at which bounds are looked at, as shares of the list, and how many may be left to stop at.
-DEPTHS, FEW = (0.125, 0.375, 0.75, 1.0), 0.125
+#: Levels of the rounds, as shares of the first gap. The schedule changes what is read, never what is found.
+LEVELS = (0.8, 0.7, 0.62, 0.55, 0.49, 0.43, 0.38, 0.33, 0.28, 0.23, 0.18, 0.13, 0.08, 0.04, 0.0)
+#: A query's remaining candidates are resolved when there are so many, or this share of the block.
+FEW = 1 / 16
+LONG = 1 << 63
 
 
 def whole(vectors: np.ndarray, scale: int) -> np.ndarray:
-    scaled = np.floor(scale * vectors)
-    if len(scaled) and np.abs(scaled).max() >= 2.0**62:
-        raise ArithmeticError("a scaled component doesn't fit 64 bits")
-    return scaled
-
-
-def meet(q_ids, queries, ids, vectors, k, scale: int):
-    q, v = whole(queries, scale), whole(vectors, scale)
-    n, dim = v.shape
-    largest = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * dim
-    if largest >= 2.0**63:
-        raise ArithmeticError("a score doesn't fit 64 bits")
-    exact = largest < 2.0**53  # all sums are then exact in double precision
-    own = np.full(len(q), -1)
-    at_q, at_v = own_places(q_ids, ids)
-    own[at_q] = at_v
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    order = np.argsort(v, axis=0, kind="stable")
-    high, low = v.max(axis=0), v.min(axis=0)
-    seen_top, seen_end = np.zeros(v.shape, bool), np.zeros(v.shape, bool)
-    columns, read = np.arange(dim), 0
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    active = np.arange(len(q))
-    for depth in DEPTHS:
-        if not len(active):
-            break
-        now = n if depth == 1 else min(n, max(k, int(depth * n)))
-        seen_top[order[n - now : n - read], columns] = True
-        seen_end[order[read:now], columns] = True
-        top, end, read = v[order[n - now], columns], v[order[now - 1], columns], now
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * vectors), -np.finfo(float).max, np.finfo(float).max)
+
+
+class Lists:
+    """The sorted lists of a block of candidates."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray):
+        """ids ascending; v: whole numbers, as doubles."""
+        self.ids, self.v = ids, v
+        columns = np.ascontiguousarray(v.T)
+        self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(columns, self.order, axis=1)
+        self.most = np.abs(v).max(axis=0, initial=0)
+
+    def best(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int], int]:
+        """(candidates, scores, entries read) of the k largest scores, ties to smaller ids; own: the query's own
+        place in the block, or -1."""
+        n, use = len(self.ids), np.flatnonzero(q)
+        weight = q[use]
+        largest = float(np.abs(weight) @ self.most[use]) if len(use) else 0.0
+        exact = largest < 2.0**53  # all sums are then exact in double precision
+        slack = 0.0 if exact else 2 * len(use) * 2.0**-50 * largest
+        alive = np.arange(n)
+        alive = alive[alive != own]
+        if len(use) and np.isfinite(slack) and len(alive) > k:
+            alive, entries = self._read(weight, use, alive, k, slack)
+        else:
+            entries = 0
+        entries += len(alive) * len(use)
         if exact:
-            a, b = up[active], down[active]
-            upper = a @ np.where(seen_top, v, top).T + b @ np.where(seen_end, v, end).T
-            lower = a @ np.where(seen_top, v, low).T + b @ np.where(seen_end, v, high).T
-        else:  # too large for doubles: nothing is ruled out
-            upper = lower = np.zeros((len(active), n))
-        mine = np.flatnonzero(own[active] >= 0)
-        upper[mine, own[active][mine]] = lower[mine, own[active][mine]] = -np.inf
-        least = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
-        open_ = (upper >= least[:, None]) & (upper > -np.inf)
-        left = open_.sum(axis=1)
-        done = (left <= max(4 * k, FEW * n)) | (now == n)
-        for row in np.flatnonzero(done):
-            some = np.flatnonzero(open_[row])
-            i = active[row]
-            if exact and now == n:
-                scores = upper[row, some].astype(np.int64)
-            elif exact:
-                scores = (v[some] @ q[i]).astype(np.int64)
-            else:
-                scores = v[some].astype(np.int64) @ q[i].astype(np.int64)
-            best = np.lexsort((some, -scores))[:k]
-            out.append((np.full(len(best), i), ids[some[best]], scores[best]))
-        active = active[~done]
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            scores = (self.v[np.ix_(alive, use)] @ weight).astype(np.int64)
+            order = np.lexsort((alive, -scores))[:k]
+            return alive[order], scores[order].tolist(), entries
+        full = [min(LONG - 1, max(-LONG, sum(int(a) * int(b) for a, b in zip(row, weight, strict=True)))) for row in self.v[np.ix_(alive, use)]]
+        order = sorted(range(len(alive)), key=lambda i: (-full[i], alive[i]))[:k]
+        return alive[order], [full[i] for i in order], entries
+
+    def _read(self, weight: np.ndarray, use: np.ndarray, alive: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, int]:
+        """(the candidates that may be among the k best, entries read)."""
+        n = len(self.ids)
+        up = weight > 0
+        far = weight * np.where(up, self.values[use, 0], self.values[use, -1])
+        gap = weight * np.where(up, self.values[use, -1], self.values[use, 0]) - far
+        lower, met = np.full(n, far.sum()), np.zeros(n)
+        depth, entries, least = np.zeros(len(use), np.int64), 0, -np.inf
+        for share in LEVELS:
+            level = share * gap.max()
+            edge = (far + level) / weight
+            places, parts = [], []
+            for j, (list_, upward) in enumerate(zip(use.tolist(), up.tolist(), strict=True)):
+                values, seen = self.values[list_], int(depth[j])
+                if gap[j] <= level or seen == n:
+                    continue
+                # Of what is unread nothing may exceed the level, rounding of `edge` included.
+                if upward:
+                    a = int(np.searchsorted(values, edge[j], "left")) if level else 0
+                    a, b = min(a, n - seen), n - seen
+                    depth[j] = n - a
+                else:
+                    b = int(np.searchsorted(values, edge[j], "right")) if level else n
+                    a, b = seen, max(b, seen)
+                    depth[j] = b
+                places.append(self.order[list_, a:b])
+                parts.append(weight[j] * values[a:b] - far[j])
+            if places:
+                at = np.concatenate(places)
+                entries += len(at)
+                lower += np.bincount(at, np.concatenate(parts), n)
+                met += np.bincount(at, minlength=n)
+            bound = lower[alive]
+            least = max(least, float(np.partition(bound, len(bound) - k)[len(bound) - k])) if len(bound) >= k else least
+            open_ = np.minimum(gap, level)
+            read_lists = gap > level
+            upper = bound + open_[~read_lists].sum() + level * (1 + 1e-9) * (read_lists.sum() - met[alive])
+            # Scores beyond 64 bits are equal, whatever they exceed them by.
+            alive = alive[upper >= (min(least, 2.0**62.99) if least > -(2.0**62.99) else -np.inf) - slack]
+            if len(alive) <= max(2 * k, FEW * n):
+                break
+        return alive, entries
+
+
+def meet(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(query index, id, score) of each query's k best in a block, and the share of all entries that was read."""
+    lists, entries = Lists(ids, whole(vectors, scale)), 0
+    places = np.searchsorted(ids, q_ids)
+    rows, found, scores = [], [], []
+    for i, (q, at) in enumerate(zip(whole(queries, scale), places.tolist(), strict=True)):
+        own = at if at < len(ids) and ids[at] == q_ids[i] else -1
+        some, best, count = lists.best(q, own, k)
+        entries += count
+        rows.append(np.full(len(some), i))
+        found.append(ids[some])
+        scores += best
+    both = (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, int), np.zeros(0, np.int64))
+    return *both, np.array(scores, np.int64), entries / max(1, len(queries) * vectors.size)
 
 
 def top_scores(df: DataFrame, every: int = 20, k: int = 20, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of floor(scale * x) vectors.
 
     Exact. Queries are the ids divisible by `every`, candidates all others' rows; ties go to smaller ids; with
-    fewer candidates all are returned. Vectors null, empty or with null or non-finite components take no part,
-    nor do null ids. An id stands for one vector (see blocks.usable); shorter vectors count as filled up with
-    zeros; other columns are ignored. Scores beyond 64 bits raise ArithmeticError.
+    fewer candidates all are returned; an empty table gives no rows. Vectors null, empty or with null or
+    non-finite components take no part, nor do null ids. An id stands for one vector (see blocks.usable), so
+    that repeated rows count once; shorter vectors count as filled up with zeros; other columns are ignored,
+    whatever their names. Scores beyond 64 bits are given as the largest or smallest 64-bit number.
+
+    Blocks of candidates are sent to as many tasks as there are blocks of queries, of QUERIES at most. Where
+    bounds don't help, as with many components of equal weight, most of each list is read.
     """
-    return search(df, every, k, meet, id_col, vector_col, zero=True, score="long", prepare=lambda rows: scale)
+    rows, _ = write_table(blocks.usable(df, id_col, vector_col, zero=True), "vectors")
+    count, asked, dim = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.coalesce(F.max(F.size("vector")), F.lit(0))).head()
+    kind = blocks.kind_of(rows, "vector")
+    stock = blocks.packed(rows, count, blocks.CANDIDATES, dim)
+    asking = blocks.packed(rows.where(F.col("id") % every == 0), asked, blocks.query_size(rows, asked), dim)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q_ids, ids = blocks.read(left, "q_ids", np.int64), blocks.read(right, "ids", np.int64)
+        at, found, scores, _ = meet(q_ids, blocks.read(left, "q_vectors", kind, dim), ids, blocks.read(right, "vectors", kind, dim), k, scale)
+        return pa.table({"query_id": q_ids[at], "vec_id": found, "score": scores})
+
+    return blocks.ranked(blocks.met(*asking, *stock, run, "query_id long, vec_id long, score long"), k)

@@ -1,6 +1,7 @@
 """Near duplicates, nearest neighbours and top scores against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -140,7 +141,7 @@ def asked(df):
 @pytest.mark.parametrize("size", [blocks.CANDIDATES, 90])
 def test_top_scores(spark, monkeypatch, size):
     monkeypatch.setattr(blocks, "CANDIDATES", size)
-    monkeypatch.setattr(blocks, "QUERIES", 17)
+    monkeypatch.setattr(blocks, "LEAST_QUERIES", 17)
     rows, df = vectors(spark)
     whole = lambda a, b: int((np.floor(64 * a).astype(int) * np.floor(64 * b).astype(int)).sum())
     assert asked(topk.top_scores(df)) == brute(rows, whole, zero=True)
@@ -149,46 +150,78 @@ def test_top_scores(spark, monkeypatch, size):
     assert topk.top_scores(df.where("false")).count() == 0
 
 
-def test_large_components_stay_exact():
+def meets(x, scale=64, k=20, queries=40):
+    """meet()'s share of entries read, after its result is held against brute force."""
+    ids = np.arange(len(x)) * 3
+    at, found, scores, share = topk.meet(ids[::20][:queries], x[::20][:queries], ids, x, k, scale)
+    v = [[int(a) for a in np.floor(scale * r)] for r in x]
+    for q in range(min(queries, len(x[::20]))):
+        exact = [max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v[20 * q], w)))) for w in v]
+        want = sorted((-s, i) for i, s in enumerate(exact) if i != 20 * q)[:k]
+        assert [(-s, i) for s, i in zip(scores[at == q].tolist(), (found[at == q] // 3).tolist())] == want
+    return share
+
+
+def test_lists_are_read_no_further_than_needed():
     rng = np.random.default_rng(0)
-    for scale in (1e3, 1e6):
-        v = np.floor(rng.normal(size=(300, 5)) * scale * 64)
-        ids = np.arange(300)
-        at, found, scores = topk.meet(ids[:10], v[:10] / 64, ids, v / 64, 5, 64)
-        for q in range(10):
-            exact = [sum(int(a) * int(b) for a, b in zip(v[q], v[i])) for i in range(300)]
-            want = sorted((-exact[i], i) for i in range(300) if i != q)[:5]
-            assert [(-s, i) for s, i in zip(scores[at == q].tolist(), found[at == q].tolist())] == want
-    with pytest.raises(ArithmeticError):
-        topk.meet(ids[:1], np.full((1, 5), 1e30), ids, v, 5, 64)
-
-
-@pytest.mark.parametrize("size", [blocks.CANDIDATES, 300])
-def test_nearest(spark, monkeypatch, size):
-    monkeypatch.setattr(blocks, "CANDIDATES", size)
+    assert meets(rng.normal(size=(6000, 32)) * np.exp(-np.arange(32) / 4)) < 0.35  # few components matter
+    assert meets(rng.normal(size=(6000, 32)) * (rng.random((6000, 32)) < 0.1)) < 0.35  # most parts are zero
+    assert meets(rng.normal(size=(6000, 8))) < 0.8  # few components
+    assert meets(rng.normal(size=(3000, 32)) / 8) <= 1  # many alike: the worst case
+    assert meets(rng.integers(-1, 2, size=(3000, 8)) / 64) < 0.9  # ties everywhere
+
+
+def test_any_component_is_scored():
+    rng = np.random.default_rng(0)
+    v = np.floor(rng.normal(size=(300, 5)) * 1e3)
+    for scale in (1.0, 1e6, 1e9, 1e30, 1e300):  # sums beyond doubles' whole numbers, 64 bits, all bounds
+        meets(v * scale, k=5, queries=10)
+    meets(np.zeros((50, 3)), k=5)
+    meets(np.where(np.arange(300)[:, None] % 50 == 7, 1e30, v), k=5)
+
+
+@pytest.mark.parametrize("rows_at_once", [1 << 20, 300])
+def test_nearest(spark, monkeypatch, rows_at_once):
+    monkeypatch.setattr(ann, "CODES", rows_at_once)
+    monkeypatch.setattr(blocks, "LEAST_QUERIES", 17)
     rows, df = vectors(spark)
     dot = lambda a, b: float((a * b).sum())
-    got, want = asked(ann.nearest(df)), brute(rows, dot, zero=False)
+    got, want = asked(ann.nearest(df, rerank=100)), brute(rows, dot, zero=False)
     assert set(got) == set(want)
     hit = sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in want)
     assert hit >= 0.9 * sum(map(len, want.values()))
     assert all([r for r, _, _ in got[q]] == list(range(1, len(got[q]) + 1)) and len(got[q]) == len(want[q]) for q in want)
     exact = {(q, i): s for q in want for _, i, s in brute(rows, dot, zero=False, k=10_000)[q]}
     assert all(abs(s - exact[q, i]) < 1e-9 for q in got for _, i, s in got[q])
+    ids = lambda best: [i for _, i, _ in best]
+    assert ids(got[20]) == ids(want[20]) and ids(got[900]) == ids(want[900])  # copies of one vector, more than are ranked: the smallest ids
     assert ann.nearest(df.where("false")).count() == 0
 
 
-def test_recall_on_embeddings(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    rows = df.toPandas().sort_values("vec_id")
-    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
-    got, hit, total = asked(ann.nearest(df)), 0, 0
-    for q in ids[ids % 20 == 0]:
-        scores = x @ x[np.searchsorted(ids, q)]
-        scores[ids == q] = -np.inf
-        best = set(ids[np.lexsort((ids, -scores))[:20]].tolist())
-        hit, total = hit + len(best & {i for _, i, _ in got[q]}), total + 20
-    assert hit >= 0.9 * total
+def test_recall(spark):
+    """50,000 vectors, of which under 2 % are ranked exactly."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50_000, 32)).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = asked(ann.nearest(rows, every=500, rerank=900))
+    hit = 0
+    for q, best in got.items():
+        scores = x.astype(float) @ x[q].astype(float)
+        scores[q] = -np.inf
+        hit += len(set(np.argsort(-scores)[:20].tolist()) & {i for _, i, _ in best})
+    assert len(got) == 100 and hit >= 0.9 * 20 * len(got)
+
+
+def test_scan_keeps_the_largest_sums():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 7))
+    q = ann.Quantiser(x)
+    codes = q.pack(x)
+    full = q.scan(x[:9], codes).T.astype(int)
+    for rows in (8_192, 64, 1):
+        places, sums = ann.scan_best(q, x[:9], codes, 30, rows=rows, at_once=4)
+        assert (np.sort(sums, axis=1)[:, ::-1] == np.sort(full, axis=1)[:, ::-1][:, :30]).all()
+        assert (np.take_along_axis(full, places, axis=1) == sums).all() and all(len(set(p)) == 30 for p in places.tolist())
 
 
 def test_parallel_residuals_cost_more():
