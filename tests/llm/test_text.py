@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from asterfold.llm import html_text, quality, secrets
 
@@ -248,6 +249,82 @@ def test_template_without_named_elements(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def pages_of(spark, texts, url="http://site.example/"):
+    return spark.createDataFrame([(i, f"{url}{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(3)
+
+
+def texts_of(df):
+    return {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+
+
+def test_template_alone_tells_the_article(spark, sf_dir):
+    """The same text where no element is an article by name and no class says what is an advert."""
+    df = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    renamed = df.withColumn("html", F.regexp_replace(F.regexp_replace("html", "(</?)article", "$1div"), 'class="ad"', 'class="x1"'))
+    hosts = Counter(html_text.host(r["url"]) for r in df.select("url").collect())
+    want = texts_of(df)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(renamed).collect() if hosts[html_text.host(r["url"])] >= html_text.LEAST_PAGES}
+    assert len(got) > 100 and all(want[i] == t for i, t in got.items())
+    whole = {r["page_id"]: html_text.content(r["html"]) for r in renamed.collect()}
+    assert all(whole[i] != t for i, t in got.items())  # without the template the advert would be in it
+
+
+def test_layouts_notices_and_copies(spark):
+    """Two layouts and pages of none on one host; notices inside the article go, copies of an article stay."""
+    own = lambda i: f"words of page {i} and some more " * 5
+    story = "<html><body><div>Site</div><div class=post><div class=box>Read our terms</div><h1>Story {0}</h1><p>{1}</p><p>{2}</p></div><div class=low>Imprint</div></body></html>"
+    recipe = "<html><body><div>Site</div><section><div><h2>Dish {0}</h2><ul><li>{1}</li><li>flour</li></ul></div></section><div class=low>Imprint</div></body></html>"
+    texts = [story.format(i if i > 5 else 0, own(i if i > 5 else 0), "The same remark" if i % 2 else "another") for i in range(20)]
+    texts += [recipe.format(i, own(i)) for i in range(20, 30)] + [None, "", "error", "<p>gone</p>"]
+    got = texts_of(pages_of(spark, texts))
+    for i in range(20):
+        n = i if i > 5 else 0  # six copies
+        assert got[i] == f"Story {n}\n\n{own(n).strip()}\n\n" + ("The same remark" if i % 2 else "another")
+    for i in range(20, 30):
+        assert got[i] == f"Dish {i}\n\n{own(i).strip()}\n\nflour"
+    assert [got[i] for i in range(30, 34)] == ["", "", "error", "gone"]
+    same = texts_of(pages_of(spark, [story.format(1, "copy", "c")] * 5))
+    assert set(same.values()) == {same[0]} and "copy" in same[0]
+
+
+def test_names_do_not_delete_articles():
+    t = html_text.content
+    assert t('<div class="content with-sidebar"><h1>a</h1><p>b</div>') == "a\n\nb"
+    assert t('<div id="main" class="page no-comments"><p>b</div>') == "b"
+    assert t('<main><p>a</p><div class="social-science">b</div></main>') == "a\n\nb"
+    assert t('<article><p class="share-price">a</p></article>') == "a"
+    assert t('<form action="/"><div class="post comments-open"><h1>a</h1><p>b c d</p></div><input></form>') == "a\n\nb c d"
+    assert t('<nav class="x">n</nav><div class="widget"><h1>long story</h1><p>of many words</p></div>') == "long story\n\nof many words"
+    assert t('<article><header><h1>a</h1></header><p>b</p></article><form>search</form><div class="comments"><p>no no no no</p></div>') == "a\n\nb"
+
+
+def test_classes_nest_by_their_elements():
+    """Brute force: vectors spelled out for every page."""
+    rng = np.random.default_rng(0)
+    pages = []
+    for i in range(30):
+        parts = ["<div class=a>top</div>"] if i % 3 else []
+        parts += [f"<div class=b><p>{rng.integers(1000)}</p></div>"] + ["<section><h2>s</h2><i>x</i></section>"] * int(i % 5 == 0)
+        pages.append("<body>" + "".join(parts) + "</body>")
+    total: dict[int, list] = {}
+    vectors = defaultdict(lambda: [0] * 30)
+    for i, page in enumerate(pages):
+        for r in html_text.roles_of(page, i):
+            vectors[r.role][i] = r.times
+            old = total.get(r.role, r._replace(a=0, b=0, pages=0, times=0, chars=0, free=0))
+            total[r.role] = old._replace(**{n: getattr(old, n) + getattr(r, n) for n in html_text.SUMS})
+    del total[-1]
+    found = html_text.classes(total.values())
+    for members in found:
+        assert len({tuple(vectors[r.role]) for r in members}) == 1
+    same = defaultdict(set)
+    for r in total.values():
+        if max(vectors[r.role]) == 1:
+            same[tuple(vectors[r.role])].add(r.role)
+    tags = {r.role for r in total.values() if r.depth}
+    assert sorted(sorted(r.role for r in m) for m in found) == sorted(sorted(m) for m in same.values() if m & tags)
+
+
 # -- the pipeline
 
 def test_pipeline(spark, sf_dir):
