@@ -141,7 +141,10 @@ class Encoder:
             spec = json.load(f)
         self.kind = cut_kind(spec)
         self.lowers = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        self.added = re.compile(b"|".join(re.escape(t["content"].encode()) for t in spec.get("added_tokens") or []) or rb"(?!)")
+        contents = [t["content"] for t in spec.get("added_tokens") or []]
+        self.longest = max(map(len, contents), default=1)
+        self.special = re.compile("|".join(map(re.escape, contents)) or r"(?!)")
+        self.added = re.compile(b"|".join(re.escape(c.encode()) for c in contents) or rb"(?!)")
         model = spec["model"]
         usual = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
         known = self.kind == "spaced" or self.kind == "plain" and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == PLAIN_PATTERN

@@ -1,6 +1,7 @@
 """Token operators against the libraries, by brute force."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -61,6 +62,29 @@ def test_splicing(path, chunk, overlap):
             assert [i for part in token_counts.splice(enc, t, chunk, overlap) for i in part] == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_splicing_without_spaces(path):
+    rng = random.Random(1)
+    library, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = ["abc<|endoftext|>'s", "aB1'é-", "日本語です。テキスト、", letters + letters.upper() + "0123456789+/", letters, "<|endoftext|>"]
+    for alphabet in kinds:
+        for n in (30, 100, 900):
+            t = "".join(rng.choice([alphabet, *alphabet]) for _ in range(n))
+            for chunk, overlap in ((20, 2), (64, 5), (200, 30)):
+                assert [i for part in token_counts.splice(enc, t, chunk, overlap) for i in part] == library.encode(t, add_special_tokens=False).ids
+    for alphabet in (kinds[2], kinds[3]):  # a million characters: linear, not quadratic
+        t = "".join(rng.choices(alphabet, k=1_000_000))
+        at = time.perf_counter()
+        n = token_counts.count_long(enc, t, token_counts.CHUNK, token_counts.OVERLAP)
+        took = time.perf_counter() - at
+        at = time.perf_counter()
+        assert n == len(library.encode(t, add_special_tokens=False).ids)
+        assert took < 5 + 4 * (time.perf_counter() - at)
+    run = "".join(rng.choices(letters, k=200_000))  # one word: nowhere to splice
+    assert token_counts.count_long(enc, run, token_counts.CHUNK, token_counts.OVERLAP) == len(library.encode(run, add_special_tokens=False).ids)
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(BYTE)
     for chunk in (token_counts.CHUNK, 100):
