@@ -183,7 +183,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
         places, sums = scan_best(sent.value, blocks.read(left, "q_vectors", kind, dim), packed, min(keep, len(ids)))
         return pa.table({"query_id": np.repeat(q_ids, places.shape[1]), "vec_id": ids[places.ravel()], "score": sums.ravel()})
 
-    found = blocks.ranked(blocks.met(*asking, *codes, run, "query_id long, vec_id long, score long"), keep)
+    found = blocks.ranked(blocks.met(*asking, *codes, run, "query_id long, vec_id long, score long", length=1), keep)
     pairs, _ = write_table(found.select("query_id", F.col("vec_id").alias("id")), "pairs")
 
     def exact(batches):

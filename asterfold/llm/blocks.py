@@ -1,7 +1,7 @@
 """Vectors in blocks, for a stated set of queries against all rows.
 
 Rows are dealt by a hash of their id into blocks of a fixed size, each packed into one row of bytes. Every
-block of queries meets every block of candidates in a group of its own: the group is the unit of work and of
+block of queries meets every run of candidate blocks in a group of its own: the group is the unit of work and of
 memory, whatever the table's size. Each meeting keeps its best k, and the meetings' results are ranked by
 query with limits applied before the shuffle.
 """
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from asterfold.llm.shared import shuffle_width
 
-#: Candidates of a block, and the least and most queries of one.
-CANDIDATES, LEAST_QUERIES, QUERIES = 32_768, 128, 8_192
+#: Candidates of a block, blocks that a block of queries meets one after the other, and the least and most queries
+#: of a block.
+CANDIDATES, RUN, LEAST_QUERIES, QUERIES = 16_384, 16, 512, 8_192
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
@@ -65,23 +66,24 @@ def query_size(rows: DataFrame, asked: int) -> int:
     return min(QUERIES, max(LEAST_QUERIES, -(-asked // (2 * shuffle_width(rows.sparkSession)))))
 
 
-def met(asking: DataFrame, groups: int, stock: DataFrame, blocks: int, run: Callable, schema: str) -> DataFrame:
-    """run(query block, candidate block) -> table, for each pair of blocks."""
-    stock = stock.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asking = asking.withColumnsRenamed({"block": "asking", "ids": "q_ids", "vectors": "q_vectors"}).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def met(asking: DataFrame, groups: int, stock: DataFrame, blocks: int, run: Callable, schema: str, length: int = RUN) -> DataFrame:
+    """run(a row of queries, `length` rows of candidates) -> table, for each block of queries and run of blocks."""
+    stock = stock.withColumn("run", F.expr(f"block div {length}").cast("int")).withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    runs = -(-blocks // length)
+    asking = asking.withColumnsRenamed({"block": "asking", "ids": "q_ids", "vectors": "q_vectors"}).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     names = [(part.split()[0], pa.int64() if part.split()[1] == "long" else pa.float64()) for part in schema.split(", ")]
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
-            return run(left, right)
+            return run(left, right.sort_by("block"))
         return pa.table({n: pa.array([], t) for n, t in names})
 
-    return asking.groupBy("asking", "block").cogroup(stock.groupBy("asking", "block")).applyInArrow(both, schema)
+    return asking.groupBy("asking", "run").cogroup(stock.groupBy("asking", "run")).applyInArrow(both, schema)
 
 
-def read(table: pa.Table, column: str, kind: type, dim: int = 0) -> np.ndarray:
+def read(table: pa.Table, column: str, kind: type, dim: int = 0, row: int = 0) -> np.ndarray:
     """The numbers of a block's column; rows of `dim` as doubles."""
-    out = np.frombuffer(table.column(column)[0].as_py(), kind)
+    out = np.frombuffer(table.column(column)[row].as_py(), kind)
     return out.reshape(-1, dim).astype(float) if dim else out
 
 

@@ -43,12 +43,16 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def hash_sample(df: DataFrame, columns: list[str], most: int) -> DataFrame:
-    """About `most` rows or all, if fewer: those whose columns' hash is in the share of hashes that this many
-    rows fill. The same rows whatever the partitioning; at most twice as many, whatever repeats."""
+    """`most` rows or all, if fewer: those of the smallest hashes of `columns`, and of rows that are equal there those
+    of the smallest hashes of all columns. The same rows whatever the partitioning."""
     count = df.count()
     if count <= most:
         return df
-    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) < int((1 << 31) * most / count)).limit(2 * most)
+    # Ordered are only those rows that may be among them, about twice as many as are taken.
+    near = df.withColumn("_hash", F.pmod(F.xxhash64(*columns), F.lit(1 << 31)))
+    few = near.where(F.col("_hash") < int((1 << 31) * min(1, 2 * most / count)))
+    few = few if few.count() >= most else near
+    return few.orderBy("_hash", F.xxhash64(*df.columns)).limit(most).drop("_hash")
 
 
 def id_bounds(df: DataFrame, column: str, rows_per_range: int = 2000) -> list[int]:

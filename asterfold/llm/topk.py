@@ -14,6 +14,8 @@ largest lower bound; the final scores of those few are resolved.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +26,14 @@ from asterfold.llm.shared import write_table
 
 SCALE = 64
 #: Levels of the rounds, as shares of the first gap. The schedule changes what is read, never what is found.
-LEVELS = (0.8, 0.7, 0.62, 0.55, 0.49, 0.43, 0.38, 0.33, 0.28, 0.23, 0.18, 0.13, 0.08, 0.04, 0.0)
-#: A query's remaining candidates are resolved when there are so many, or this share of the block.
-FEW = 1 / 16
+LEVELS = (0.6, 0.42, 0.34, 0.28, 0.23, 0.18, 0.13, 0.07, 0.0)
+#: A query's remaining candidates are resolved when they are this share of the block.
+FEW = 1 / 5
 LONG = 1 << 63
+#: Places of a list at which reading may stop.
+STOPS = 128
+#: Sums of parts under this and counts of lists are added up in one number, exactly.
+TALLY = 2.0**42
 
 
 def whole(vectors: np.ndarray, scale: int) -> np.ndarray:
@@ -38,28 +44,33 @@ def whole(vectors: np.ndarray, scale: int) -> np.ndarray:
 class Lists:
     """The sorted lists of a block of candidates."""
 
-    def __init__(self, ids: np.ndarray, v: np.ndarray):
-        """ids ascending; v: whole numbers, as doubles."""
-        self.ids, self.v = ids, v
+    def __init__(self, ids: np.ndarray, v: np.ndarray, first: int = 0):
+        """ids ascending; v: whole numbers, as doubles; first: the round to begin with, one before that in which the
+        last query stopped."""
+        self.ids, self.v, self.first = ids, v, first
         columns = np.ascontiguousarray(v.T)
-        self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(columns, axis=1, kind="stable")
         self.values = np.take_along_axis(columns, self.order, axis=1)
         self.most = np.abs(v).max(axis=0, initial=0)
 
-    def best(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int], int]:
-        """(candidates, scores, entries read) of the k largest scores, ties to smaller ids; own: the query's own
-        place in the block, or -1."""
+        #: Places at which reading may stop, and the values there, ascending; beyond the ends no value.
+        self.stops = np.unique(np.linspace(0, len(v), min(len(v), STOPS) + 1).astype(np.int64))
+        self.at_stops = self.values[:, np.minimum(self.stops, max(0, len(v) - 1))] if len(v) else np.zeros((v.shape[1], 1))
+
+    def best(self, q: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, list[int], int]:
+        """(candidates, scores, entries read) of the k largest scores that are `least` or more, ties to smaller
+        ids, and perhaps others; own: the query's own place in the block, or -1."""
         n, use = len(self.ids), np.flatnonzero(q)
         weight = q[use]
-        largest = float(np.abs(weight) @ self.most[use]) if len(use) else 0.0
+        with np.errstate(over="ignore"):
+            largest = float(np.abs(weight) @ self.most[use]) if len(use) else 0.0
         exact = largest < 2.0**53  # all sums are then exact in double precision
         slack = 0.0 if exact else 2 * len(use) * 2.0**-50 * largest
         alive = np.arange(n)
         alive = alive[alive != own]
+        entries = 0
         if len(use) and np.isfinite(slack) and len(alive) > k:
-            alive, entries = self._read(weight, use, alive, k, slack)
-        else:
-            entries = 0
+            alive, entries = self._read(weight, use, alive, k, slack, least)
         entries += len(alive) * len(use)
         if exact:
             scores = (self.v[np.ix_(alive, use)] @ weight).astype(np.int64)
@@ -69,64 +80,68 @@ class Lists:
         order = sorted(range(len(alive)), key=lambda i: (-full[i], alive[i]))[:k]
         return alive[order], [full[i] for i in order], entries
 
-    def _read(self, weight: np.ndarray, use: np.ndarray, alive: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, int]:
-        """(the candidates that may be among the k best, entries read)."""
+    def _depths(self, use: np.ndarray, up: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """How far each list is to be read, at one of the stops, that nothing unread is beyond its edge."""
         n = len(self.ids)
-        up = weight > 0
+        under = (self.at_stops[use, :-1] < edge[:, None]).sum(axis=1)  # stops whose value is under the edge
+        not_over = (self.at_stops[use, :-1] <= edge[:, None]).sum(axis=1)
+        return np.where(up, n - self.stops[np.maximum(0, under - 1)], self.stops[not_over])
+
+    def _read(self, weight: np.ndarray, use: np.ndarray, alive: np.ndarray, k: int, slack: float, least: float) -> tuple[np.ndarray, int]:
+        """(the candidates that may be among the k best, entries read)."""
+        n, up = len(self.ids), weight > 0
         far = weight * np.where(up, self.values[use, 0], self.values[use, -1])
         gap = weight * np.where(up, self.values[use, -1], self.values[use, 0]) - far
-        lower, met = np.full(n, far.sum()), np.zeros(n)
-        depth, entries, least = np.zeros(len(use), np.int64), 0, -np.inf
-        for share in LEVELS:
-            level = share * gap.max()
-            edge = (far + level) / weight
-            places, parts = [], []
-            for j, (list_, upward) in enumerate(zip(use.tolist(), up.tolist(), strict=True)):
-                values, seen = self.values[list_], int(depth[j])
-                if gap[j] <= level or seen == n:
-                    continue
-                # Of what is unread nothing may exceed the level, rounding of `edge` included.
-                if upward:
-                    a = int(np.searchsorted(values, edge[j], "left")) if level else 0
-                    a, b = min(a, n - seen), n - seen
-                    depth[j] = n - a
-                else:
-                    b = int(np.searchsorted(values, edge[j], "right")) if level else n
-                    a, b = seen, max(b, seen)
-                    depth[j] = b
-                places.append(self.order[list_, a:b])
-                parts.append(weight[j] * values[a:b] - far[j])
-            if places:
-                at = np.concatenate(places)
-                entries += len(at)
-                lower += np.bincount(at, np.concatenate(parts), n)
-                met += np.bincount(at, minlength=n)
-            bound = lower[alive]
-            least = max(least, float(np.partition(bound, len(bound) - k)[len(bound) - k])) if len(bound) >= k else least
-            open_ = np.minimum(gap, level)
-            read_lists = gap > level
-            upper = bound + open_[~read_lists].sum() + level * (1 + 1e-9) * (read_lists.sum() - met[alive])
+        tally = not slack and gap.sum() < TALLY and len(use) < 1 << 10
+        sums, met, floor, add = np.zeros(n), np.zeros(n), far.sum(), TALLY - far if tally else -far
+        depth, entries = np.zeros(len(use), np.int64), 0
+        for number in range(self.first, len(LEVELS)):
+            level = LEVELS[number] * gap.max()
+            read = gap > level
+            to = np.where(read, np.maximum(depth, self._depths(use, up, (far + level) / weight) if level else n), depth)
+            for j in np.flatnonzero(to > depth).tolist():
+                seen, stop = int(depth[j]), int(to[j])
+                span = slice(n - stop, n - seen) if up[j] else slice(seen, stop)
+                part = self.values[use[j], span] * weight[j]
+                part += add[j]
+                at = self.order[use[j], span]
+                sums[at] += part  # no candidate is twice in a list
+                if not tally:
+                    met[at] += 1
+                entries += stop - seen
+            depth = to
+            if tally:
+                met = np.floor(sums / TALLY)
+            bound = (sums - met * TALLY if tally else sums)[alive] + floor
+            if len(bound) >= k:
+                least = max(least, float(np.partition(bound, len(bound) - k)[len(bound) - k]))
+            upper = bound + gap[~read].sum() + level * (1 + 1e-9) * (read.sum() - met[alive])
             # Scores beyond 64 bits are equal, whatever they exceed them by.
             alive = alive[upper >= (min(least, 2.0**62.99) if least > -(2.0**62.99) else -np.inf) - slack]
-            if len(alive) <= max(2 * k, FEW * n):
+            if len(alive) <= FEW * n:
                 break
+        self.first = max(0, number - 1)
         return alive, entries
 
 
-def meet(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(query index, id, score) of each query's k best in a block, and the share of all entries that was read."""
-    lists, entries = Lists(ids, whole(vectors, scale)), 0
-    places = np.searchsorted(ids, q_ids)
-    rows, found, scores = [], [], []
-    for i, (q, at) in enumerate(zip(whole(queries, scale), places.tolist(), strict=True)):
-        own = at if at < len(ids) and ids[at] == q_ids[i] else -1
-        some, best, count = lists.best(q, own, k)
-        entries += count
-        rows.append(np.full(len(some), i))
-        found.append(ids[some])
-        scores += best
-    both = (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, int), np.zeros(0, np.int64))
-    return *both, np.array(scores, np.int64), entries / max(1, len(queries) * vectors.size)
+def meet(q_ids: np.ndarray, queries: np.ndarray, stock: Iterable[tuple[np.ndarray, np.ndarray]], k: int, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(query index, id, score) of each query's k best in some blocks, each (ids ascending, vectors), and the share
+    of all entries that was read. From block to block a query needs no less than its k-th score so far."""
+    q, entries, size, first = whole(queries, scale), 0, 0, 0
+    best: list[list[tuple[int, int]]] = [[] for _ in q]  # (-score, id)
+    for ids, vectors in stock:
+        lists = Lists(ids, whole(vectors, scale), first)
+        size += vectors.size
+        places = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)
+        own = np.where(ids[places] == q_ids, places, -1).tolist()
+        for i, row in enumerate(q):
+            least = float(-best[i][-1][0]) if len(best[i]) == k else -np.inf
+            some, scores, count = lists.best(row, own[i], k, least)
+            entries, first = entries + count, lists.first
+            best[i] = sorted(best[i] + [(-s, x) for s, x in zip(scores, ids[some].tolist(), strict=True)])[:k]
+    rows = np.repeat(np.arange(len(q)), [len(b) for b in best])
+    found = np.array([x for b in best for _, x in b], np.int64)
+    return rows, found, np.array([-s for b in best for s, _ in b], np.int64), entries / max(1, len(q) * size)
 
 
 def top_scores(df: DataFrame, every: int = 20, k: int = 20, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -138,8 +153,8 @@ def top_scores(df: DataFrame, every: int = 20, k: int = 20, scale: int = SCALE,
     that repeated rows count once; shorter vectors count as filled up with zeros; other columns are ignored,
     whatever their names. Scores beyond 64 bits are given as the largest or smallest 64-bit number.
 
-    Blocks of candidates are sent to as many tasks as there are blocks of queries, of QUERIES at most. Where
-    bounds don't help, as with many components of equal weight, most of each list is read.
+    A block of queries meets a run of candidate blocks in one task, one block after the other. Where bounds don't
+    help, as with many components of equal weight, most of each list is read.
     """
     rows, _ = write_table(blocks.usable(df, id_col, vector_col, zero=True), "vectors")
     count, asked, dim = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.coalesce(F.max(F.size("vector")), F.lit(0))).head()
@@ -148,8 +163,9 @@ def top_scores(df: DataFrame, every: int = 20, k: int = 20, scale: int = SCALE,
     asking = blocks.packed(rows.where(F.col("id") % every == 0), asked, blocks.query_size(rows, asked), dim)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids, ids = blocks.read(left, "q_ids", np.int64), blocks.read(right, "ids", np.int64)
-        at, found, scores, _ = meet(q_ids, blocks.read(left, "q_vectors", kind, dim), ids, blocks.read(right, "vectors", kind, dim), k, scale)
+        q_ids = blocks.read(left, "q_ids", np.int64)
+        stock = ((blocks.read(right, "ids", np.int64, row=i), blocks.read(right, "vectors", kind, dim, row=i)) for i in range(right.num_rows))
+        at, found, scores, _ = meet(q_ids, blocks.read(left, "q_vectors", kind, dim), stock, k, scale)
         return pa.table({"query_id": q_ids[at], "vec_id": found, "score": scores})
 
     return blocks.ranked(blocks.met(*asking, *stock, run, "query_id long, vec_id long, score long"), k)

@@ -150,10 +150,11 @@ def test_top_scores(spark, monkeypatch, size):
     assert topk.top_scores(df.where("false")).count() == 0
 
 
-def meets(x, scale=64, k=20, queries=40):
+def meets(x, scale=64, k=20, queries=40, block=1500):
     """meet()'s share of entries read, after its result is held against brute force."""
     ids = np.arange(len(x)) * 3
-    at, found, scores, share = topk.meet(ids[::20][:queries], x[::20][:queries], ids, x, k, scale)
+    stock = [(ids[i::parts], x[i::parts]) for parts in [-(-len(x) // block)] for i in range(parts)]
+    at, found, scores, share = topk.meet(ids[::20][:queries], x[::20][:queries], stock, k, scale)
     v = [[int(a) for a in np.floor(scale * r)] for r in x]
     for q in range(min(queries, len(x[::20]))):
         exact = [max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v[20 * q], w)))) for w in v]
