@@ -44,19 +44,27 @@ def kneser_ney(docs):
     return p
 
 
-@pytest.mark.parametrize("shard", [quality.SHARD, 40])
-def test_perplexities(spark, shard):
+@pytest.mark.parametrize("words,bits", [(quality.WORDS, quality.CHUNK_BITS), (4, 3)])
+def test_perplexities(spark, monkeypatch, words, bits):
+    monkeypatch.setattr(quality, "WORDS", words)
+    monkeypatch.setattr(quality, "CHUNK_BITS", bits)
     rng = np.random.default_rng(0)
     word = lambda: rng.choice(["alpha", "Beta", "gamma", "of", "the", "x1", "Zeta", "12"])
     rows = [(i, " ".join(word() for _ in range(rng.integers(0, 30))) + rng.choice([".", "!!", ""]), ["en", "de", None][i % 3]) for i in range(150)]
     rows += [(500, None, "en"), (501, "", "fr"), (502, "text of an unknown language", "fr"), (3, "the the the the", "en"), (None, "the of", "en"), (None, None, None)]
     df = spark.createDataFrame([(*r, "c", 1.5) for r in rows], "doc_id long, text string, lang string, id string, n double").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 7 != 0)) for i in range(140)] + [(None, 1), (1, 0), (500, 1)], "doc_id long, quality int")
-    got = sorted((str(r["doc_id"]), r["lang"], r["n_tokens"], round(r["perplexity"], 6) if r["perplexity"] is not None else None, r["keep"]) for r in quality.classify(df, labels, shard=shard).collect())
+    got = sorted((str(r["doc_id"]), r["lang"], r["n_tokens"], round(r["perplexity"], 6) if r["perplexity"] is not None else None, r["keep"]) for r in quality.classify(df, labels).collect())
     good = {i for i in range(140) if i % 7 and i != 1} | {500}
     want, classes = [], {}
-    for k, (_, t, _) in enumerate(rows):
-        classes[k] = quality.classes(t).tolist()
+    words_of = {}
+    for lang in ("en", "de", ""):
+        seen = Counter(w for i, t, la in rows if i in good and (la or "") == lang for w in quality.TOKEN.findall(t or ""))
+        words_of[lang] = {w: k for k, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:words])}
+    for k, (_, t, lang) in enumerate(rows):
+        classes[k] = quality.classes(t, quality.Classes(words_of.get(lang or "", {}))).tolist()
+    if words > 4:
+        assert max(max(c, default=0) for c in classes.values()) >= quality.OTHERS  # words themselves
     for lang in ("en", "de", ""):
         mine = [k for k, r in enumerate(rows) if (r[2] or "") == lang]
         runs = lambda k: classes[k].count(quality.RUN) / max(1, sum(c // quality.BUCKETS != 4 for c in classes[k]))
@@ -69,16 +77,18 @@ def test_perplexities(spark, shard):
         score = {k: (nll[k] + quality.PRIOR * mean) / (len(classes[k]) + quality.PRIOR) for k in mine}
         ranked = sorted(score[k] for k in out)
         q = lambda s: ranked[max(0, math.ceil(s * len(ranked)) - 1)]
-        limit = q(0.5) + quality.REACH * (q(quality.TAIL) - q(0.5))
+        limit = q(quality.TAIL) + quality.HAIR
         want += [(str(rows[k][0]), lang, len(classes[k]), round(math.exp(score[k]), 6), score[k] <= limit) for k in mine]
     want += [("501", "fr", 0, None, True), ("502", "fr", 5, None, True)]
     assert got == sorted(want)
 
 
 def test_repeats_have_their_classes():
-    ids = quality.classes("One one. ONE two *** two")
+    known = quality.Classes({"two": 0, ".": 1})
+    ids = quality.classes("One one. ONE two *** two", known)
+    assert ids[2] == quality.OTHERS + 1 and ids[4] == quality.OTHERS
     assert ids[1] == quality.AGAIN and ids[3] == quality.RUN and ids[6] == quality.AGAIN
-    assert quality.classes(None).tolist() == []
+    assert quality.classes(None, known).tolist() == []
 
 
 def test_held_out_labels(spark, sf_dir):
@@ -95,6 +105,19 @@ def test_held_out_labels(spark, sf_dir):
     assert quality.kept(docs, labels.where("false")).count() == docs.count()
 
 
+def test_rows_are_judged_by_themselves(spark, sf_dir):
+    """Of rows of one id, or of none, only those go whose own text is junk."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.where("quality = 1"), "doc_id").select(docs.columns).orderBy("doc_id").limit(5).collect()
+    junk = "%%% ### the&&& | | | " * 200
+    extra = [(i, t, "en", "s", len(t)) for r in clean for i in (None, 7) for t in (r["text"], junk)]
+    both = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    kept = quality.kept(both, labels)
+    own = [r["text"] for r in kept.where("doc_id is null").collect()]
+    assert sorted(own) == sorted(r["text"] for r in clean)
+    assert junk not in {r["text"] for r in kept.where("doc_id = 7").collect()}
+
+
 def test_threshold_is_inside_the_trusted_range(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
