@@ -17,7 +17,7 @@ from asterfold.llm import html_text, quality, secrets
 
 # -- quality
 
-def kneser_ney(docs):
+def kneser_ney(docs, size):
     """probability(first, second) of an interpolated modified Kneser-Ney bigram model, spelled out."""
     pairs = Counter(p for ids in docs for p in zip([quality.START, *ids[:-1]], ids))
     after = Counter(b for _, b in pairs)
@@ -25,7 +25,7 @@ def kneser_ney(docs):
     def discounts(values):
         n = Counter(values)
         y = n[1] / max(1, n[1] + 2 * n[2])
-        return [0, *(max(0.0, i - (i + 1) * y * n[i + 1] / max(1, n[i])) for i in (1, 2, 3))]
+        return [0, *(max(quality.LEAST_DISCOUNT, i - (i + 1) * y * n[i + 1] / max(1, n[i])) for i in (1, 2, 3))]
 
     d2, d1 = discounts(pairs.values()), discounts(after.values())
     total, spare = Counter(), defaultdict(float)
@@ -35,7 +35,7 @@ def kneser_ney(docs):
     low = sum(d1[min(n, 3)] for n in after.values()) / len(pairs)
 
     def p(a, b):
-        one = max(0, after[b] - d1[min(after[b], 3)]) / len(pairs) + low / quality.CLASSES
+        one = max(0, after[b] - d1[min(after[b], 3)]) / len(pairs) + low / size
         if not total[a]:
             return one
         n = pairs[a, b]
@@ -44,8 +44,9 @@ def kneser_ney(docs):
     return p
 
 
-@pytest.mark.parametrize("words,bits", [(quality.WORDS, quality.CHUNK_BITS), (4, 3)])
-def test_perplexities(spark, monkeypatch, words, bits):
+@pytest.mark.parametrize("words,bits,least", [(quality.WORDS, quality.CHUNK_BITS, quality.LEAST_HELD), (4, 3, 2)])
+def test_perplexities(spark, monkeypatch, words, bits, least):
+    monkeypatch.setattr(quality, "LEAST_HELD", least)
     monkeypatch.setattr(quality, "WORDS", words)
     monkeypatch.setattr(quality, "CHUNK_BITS", bits)
     rng = np.random.default_rng(0)
@@ -54,7 +55,7 @@ def test_perplexities(spark, monkeypatch, words, bits):
     rows += [(500, None, "en"), (501, "", "fr"), (502, "text of an unknown language", "fr"), (3, "the the the the", "en"), (None, "the of", "en"), (None, None, None)]
     df = spark.createDataFrame([(*r, "c", 1.5) for r in rows], "doc_id long, text string, lang string, id string, n double").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 7 != 0)) for i in range(140)] + [(None, 1), (1, 0), (500, 1)], "doc_id long, quality int")
-    got = sorted((str(r["doc_id"]), r["lang"], r["n_tokens"], round(r["perplexity"], 6) if r["perplexity"] is not None else None, r["keep"]) for r in quality.classify(df, labels).collect())
+    got = sorted((str(r["doc_id"]), r["lang"], r["n_tokens"], *(round(r[c], 6) if r[c] is not None else None for c in ("perplexity", "shape_perplexity")), r["keep"]) for r in quality.classify(df, labels).collect())
     good = {i for i in range(140) if i % 7 and i != 1} | {500}
     want, classes = [], {}
     words_of = {}
@@ -67,19 +68,27 @@ def test_perplexities(spark, monkeypatch, words, bits):
         assert max(max(c, default=0) for c in classes.values()) >= quality.OTHERS  # words themselves
     for lang in ("en", "de", ""):
         mine = [k for k, r in enumerate(rows) if (r[2] or "") == lang]
-        runs = lambda k: classes[k].count(quality.RUN) / max(1, sum(c // quality.BUCKETS != 4 for c in classes[k]))
+        runs = lambda k: classes[k].count(quality.RUN) / max(1, sum(c != quality.MARKS for c in classes[k]))
         held = lambda k: zlib.crc32((rows[k][1] or "").encode()) % quality.HELD_OUT == 0
         trusted = [k for k in mine if rows[k][0] in good and runs(k) <= quality.RUNS]
-        p = kneser_ney([classes[k] for k in trusted if not held(k) and classes[k]])
-        nll = {k: -sum(math.log(p(a, b)) for a, b in zip([quality.START, *classes[k][:-1]], classes[k])) for k in mine}
         out = [k for k in trusted if held(k) and classes[k]]
-        mean = sum(nll[k] for k in out) / sum(len(classes[k]) for k in out)
-        score = {k: (nll[k] + quality.PRIOR * mean) / (len(classes[k]) + quality.PRIOR) for k in mine}
-        ranked = sorted(score[k] for k in out)
-        q = lambda s: ranked[max(0, math.ceil(s * len(ranked)) - 1)]
-        limit = q(quality.TAIL) + quality.HAIR
-        want += [(str(rows[k][0]), lang, len(classes[k]), round(math.exp(score[k]), 6), score[k] <= limit) for k in mine]
-    want += [("501", "fr", 0, None, True), ("502", "fr", 5, None, True)]
+        shape = quality.shapes(words_of[lang])
+        assert all(shape[quality.OTHERS + i] == quality._class(w) % quality.MARK for w, i in words_of[lang].items())
+        scores, fits = [], []
+        for seq, size in (({k: classes[k] for k in mine}, quality.CLASSES), ({k: shape[classes[k]].tolist() for k in mine}, quality.OTHERS)):
+            p = kneser_ney([seq[k] for k in trusted if not held(k) and seq[k]], size)
+            nll = {k: -sum(math.log(p(a, b)) for a, b in zip([quality.START, *seq[k][:-1]], seq[k])) for k in mine}
+            mean = sum(nll[k] for k in out) / sum(len(seq[k]) for k in out)
+            score = {k: (nll[k] + quality.PRIOR * mean) / (len(seq[k]) + quality.PRIOR) for k in mine}
+            ranked = sorted(score[k] for k in out)
+            if len(ranked) < least:
+                limit = max(ranked[-1], np.mean(ranked) + quality.SPREAD * np.std(ranked, ddof=1)) + quality.HAIR
+            else:
+                limit = ranked[max(0, math.ceil(quality.TAIL * len(ranked)) - 1)] + quality.HAIR
+            scores.append(score)
+            fits.append({k: score[k] <= limit for k in mine})
+        want += [(str(rows[k][0]), lang, len(classes[k]), *(round(math.exp(x[k]), 6) for x in scores), all(f[k] for f in fits)) for k in mine]
+    want += [("501", "fr", 0, None, None, True), ("502", "fr", 5, None, None, True)]
     assert got == sorted(want)
 
 
@@ -125,7 +134,10 @@ def test_threshold_is_inside_the_trusted_range(spark, sf_dir):
     held = rated[(rated.quality == 1) & np.array([zlib.crc32(t.encode()) % quality.HELD_OUT == 0 for t in rated.text])]
     assert len(held)
     for _, own in held.groupby("lang"):
-        assert own.threshold.iloc[0] <= own.perplexity.max() * (1 + 1e-6)
+        for score, limit in ((own.perplexity, own.threshold), (own.shape_perplexity, own.shape_threshold)):
+            x = np.log(score)
+            most = x.max() if len(own) >= quality.LEAST_HELD else max(x.max(), x.mean() + quality.SPREAD * x.std())
+            assert np.log(limit.iloc[0]) <= most + 1e-6
 
 
 # -- secrets
