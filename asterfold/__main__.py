@@ -65,9 +65,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             for name, df in datagen.tables(spark, a.scale).items():
                 tbl.write_tbl(df, f"{a.target}/{name}.tbl") if a.format == "tbl" else df.write.mode("overwrite").parquet(f"{a.target}/{name}")
         case "describe":
-            for name, df in tbl.load(spark, a.source).items():
+            engine = Engine(spark, a.source)
+            there = [name for name in ("lineorder", "customer", "supplier", "part", "date") if name in engine.files.names()]
+            for name, df in tbl.load(spark, a.source, there).items():
                 print(f"{name}: {df.count()} rows, key {', '.join(schemas.SORT_ORDER[name])}")
                 df.printSchema()
+            for family in engine.families.values():
+                print(f"family {family.name} of {family.table}, key {', '.join(family.keys)}")
+                for s in family.segments():
+                    print(f"  {s.name}: {s.rows} rows" + (f", batch {s.batch}" if s.batch else ""))
         case "bench":
             base = datagen.tables(spark, a.scale)
             view = lambda lines: mv.from_base(**{**base, "lineorder": lines})

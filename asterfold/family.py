@@ -40,6 +40,11 @@ class Files:
     def names(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self._path(""))] if self.fs.exists(self._path("")) else []
 
+    def changed(self) -> tuple[int, int, int]:
+        """Files here (or the file that this is), their bytes, and when the last was changed."""
+        found = list(self.fs.listStatus(self._path("")))
+        return len(found), sum(s.getLen() for s in found), max((s.getModificationTime() for s in found), default=0)
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:
@@ -98,12 +103,14 @@ class Family:
 
     # -- the current segment
     def insert(self, rows: DataFrame, dedup: bool = False) -> None:
-        """Adds rows to the current segment. With dedup, rows whose key is there already are left out."""
+        """Adds rows to the current segment. With dedup, rows whose key is there already are left out, and of new
+        rows of one key the first stays, in the rows' own order."""
         if self.sealed:
             raise RuntimeError("the current segment is sealed")
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields))
         if dedup:
-            rows = rows.dropDuplicates(self.keys)
+            first = F.min_by(F.struct(*self.schema.names), "_place").alias("_row")
+            rows = rows.withColumn("_place", F.monotonically_increasing_id()).groupBy(*(F.col(k).alias(f"_{k}") for k in self.keys)).agg(first).select("_row.*")
             if self.current is not None:
                 rows = rows.join(self.current.select(*self.keys), self.keys, "left_anti").select(*self.schema.names)
         self.current = rows if self.current is None else self.current.unionByName(rows)
@@ -187,13 +194,27 @@ class Family:
 
 
 class Engine:
-    """A data folder with families and registered tables."""
+    """A data folder with families and registered tables. Families are found again in the folder: each notes its
+    table type, keys and schema in its log folder when it is created."""
+
+    NOTE = "family.json"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.files = Files(spark, self.path)
         self.tables: dict[str, DataFrame] = {}
         self.families: dict[str, Family] = {}
+        for name in sorted(self.files.names()):
+            if not name.startswith(".") and (found := self._found(name)):
+                self.families[name] = found
+
+    def _found(self, name: str) -> Family | None:
+        """The family of that name in the folder, if there is one."""
+        log = Files(self.spark, f"{self.path}/{name}/log")
+        if self.NOTE not in log.names():
+            return None
+        note = json.loads(log.read(self.NOTE))
+        return Family(self.spark, self.path, name, note["table"], note["keys"], T.StructType.fromJson(note["schema"]))
 
     def register(self, name: str, df: DataFrame) -> DataFrame:
         if name in self.tables:
@@ -210,12 +231,17 @@ class Engine:
         self.spark.catalog.dropTempView(name)
 
     def create_family(self, name: str, table: str) -> Family:
-        if name in self.families:
+        """A new family; KeyError if there is one of that name, made by this engine or by another on the folder."""
+        family = Family(self.spark, self.path, name, table)
+        note = {"table": table, "keys": family.keys, "schema": family.schema.jsonValue()}
+        if name in self.families or not family.log.create(self.NOTE, json.dumps(note)):
             raise KeyError(f"{name} exists")
-        self.families[name] = family = Family(self.spark, self.path, name, table)
+        self.families[name] = family
         return family
 
     def family(self, name: str) -> Family:
+        if name not in self.families and (found := self._found(name)):
+            self.families[name] = found
         return self.families[name]
 
     def erase_family(self, name: str) -> None:

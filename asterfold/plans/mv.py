@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asterfold.family import Files
 from asterfold.schemas import MV
 from asterfold.scratch import new_path
 from asterfold.sources import views
@@ -12,7 +13,7 @@ from asterfold.sources import views
 #: Columns of the joined rows that the view keeps, clustering key first.
 CLUSTER = ["s_region", "d_year", "c_region", "s_nation", "c_nation", "s_city", "c_city", "d_yearmonthnum", "d_yearmonth", "lo_orderkey", "lo_linenumber"]
 PAYLOAD = ["lo_quantity", "lo_extendedprice", "lo_discount", "lo_revenue", "lo_supplycost", "p_mfgr", "p_category", "p_brand1", "d_weeknuminyear"]
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
 def build(star: DataFrame) -> DataFrame:
@@ -45,8 +46,9 @@ def write(view: DataFrame, path: str, keys: list[str] | None = None, by: tuple[s
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view over a driver data set, written once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The view over a driver data set, written once a session for each state of its files."""
+    tables = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")
+    key = (spark.sparkContext.applicationId, sf_dir, *(Files(spark, f"{sf_dir}/{t}.parquet").changed() for t in tables))
     if key not in _written:
         path = new_path(spark, "mv")
         write(build(views.star(spark, sf_dir)), path)

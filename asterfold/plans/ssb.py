@@ -6,6 +6,7 @@ A query needs one DataFrame of joined rows: the normalised star (sources.views.s
 
 from __future__ import annotations
 
+import calendar
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -14,6 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterfold.operators.predicates import SearchCond
+from asterfold.sources.views import Bounds
+
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def year_days(first: int, last: int) -> tuple[str, str]:
+    return f"{first}-01-01", f"{last}-12-31"
+
+
+def month_days(yearmonthnum: int) -> tuple[str, str]:
+    year, month = divmod(yearmonthnum, 100)
+    return f"{year}-{month:02d}-01", f"{year}-{month:02d}-{calendar.monthrange(year, month)[1]}"
 
 
 @dataclass(frozen=True)
@@ -25,6 +38,9 @@ class Query:
     order: tuple[str, ...] = ()
     dimensions: str = "d"
 
+    #: Conditions on the raw columns below the star that these parameters imply.
+    bounds: Callable[..., Bounds] = lambda **_: Bounds()
+
     @property
     def cost(self) -> bool:
         return self.measure == "profit"
@@ -46,6 +62,19 @@ def _q1(year=None, yearmonthnum=None, week=None, discount=(1, 3), quantity=(0, 2
     return out
 
 
+def _q1_bounds(year=None, yearmonthnum=None, week=None, discount=(1, 3), quantity=(0, 24)) -> Bounds:
+    days = year_days(year, year) if yearmonthnum is None else month_days(yearmonthnum)
+    return Bounds(days if year or yearmonthnum else None, tuple(discount), tuple(quantity))
+
+
+def _q3_bounds(c=None, s=None, years=(1995, 2000), level="region", yearmonth=None) -> Bounds:
+    return Bounds(month_days(int(yearmonth[-4:]) * 100 + MONTHS.index(yearmonth[:3]) + 1) if yearmonth else year_days(*years))
+
+
+def _q4_bounds(years=None, **_) -> Bounds:
+    return Bounds(year_days(min(years), max(years)) if years else None)
+
+
 def _q2(s_region, category=None, brand=None, brands=None) -> list[Column]:
     out = [_eq("s_region", s_region)]
     if category is not None:
@@ -76,22 +105,28 @@ def _q4(c_region=None, s_region=None, s_nation=None, years=None, mfgrs=None, cat
 _CITIES = {"c": ("NATION_1 5", "NATION_1 8"), "s": ("NATION_1 3", "NATION_1 8"), "level": "city"}
 _BY_TIME = ("d_year", "-revenue")
 QUERIES: dict[str, Query] = {
-    "q11": Query(_q1, {"year": 1996, "discount": (1, 3), "quantity": (0, 24)}),
-    "q12": Query(_q1, {"yearmonthnum": 199701, "discount": (4, 6), "quantity": (26, 35)}),
-    "q13": Query(_q1, {"year": 1997, "week": 6, "discount": (5, 7), "quantity": (26, 35)}),
+    "q11": Query(_q1, {"year": 1996, "discount": (1, 3), "quantity": (0, 24)}, bounds=_q1_bounds),
+    "q12": Query(_q1, {"yearmonthnum": 199701, "discount": (4, 6), "quantity": (26, 35)}, bounds=_q1_bounds),
+    "q13": Query(_q1, {"year": 1997, "week": 6, "discount": (5, 7), "quantity": (26, 35)}, bounds=_q1_bounds),
     "q21": Query(_q2, {"category": "MFGR#12", "s_region": "AMERICA"}, ("d_year", "p_brand1"), order=("d_year", "p_brand1"), dimensions="dsp"),
     "q22": Query(_q2, {"brands": ("MFGR#2221", "MFGR#2228"), "s_region": "ASIA"}, ("d_year", "p_brand1"), order=("d_year", "p_brand1"), dimensions="dsp"),
     "q23": Query(_q2, {"brand": "MFGR#2221", "s_region": "EUROPE"}, ("d_year", "p_brand1"), order=("d_year", "p_brand1"), dimensions="dsp"),
-    "q31": Query(_q3, {"c": "ASIA", "s": "ASIA"}, ("c_nation", "s_nation", "d_year"), order=_BY_TIME, dimensions="dcs"),
-    "q32": Query(_q3, {"c": "NATION_1", "s": "NATION_1", "level": "nation"}, ("c_city", "s_city", "d_year"), order=_BY_TIME, dimensions="dcs"),
-    "q33": Query(_q3, _CITIES, ("c_city", "s_city", "d_year"), order=_BY_TIME, dimensions="dcs"),
-    "q34": Query(_q3, {**_CITIES, "yearmonth": "Dec1997"}, ("c_city", "s_city", "d_year"), order=_BY_TIME, dimensions="dcs"),
-    "q41": Query(_q4, {"c_region": "AMERICA", "s_region": "AMERICA", "mfgrs": ("MFGR#1", "MFGR#2")}, ("d_year", "c_nation"), "profit", ("d_year", "c_nation"), "dcsp"),
-    "q42": Query(_q4, {"c_region": "AMERICA", "s_region": "AMERICA", "years": (2000, 2001), "mfgrs": ("MFGR#1", "MFGR#2")}, ("d_year", "s_nation", "p_category"), "profit", ("d_year", "s_nation", "p_category"), "dcsp"),
-    "q43": Query(_q4, {"s_nation": "NATION_1", "years": (2000, 2001), "category": "MFGR#14"}, ("d_year", "s_city", "p_brand1"), "profit", ("d_year", "s_city", "p_brand1"), "dsp"),
+    "q31": Query(_q3, {"c": "ASIA", "s": "ASIA"}, ("c_nation", "s_nation", "d_year"), order=_BY_TIME, dimensions="dcs", bounds=_q3_bounds),
+    "q32": Query(_q3, {"c": "NATION_1", "s": "NATION_1", "level": "nation"}, ("c_city", "s_city", "d_year"), order=_BY_TIME, dimensions="dcs", bounds=_q3_bounds),
+    "q33": Query(_q3, _CITIES, ("c_city", "s_city", "d_year"), order=_BY_TIME, dimensions="dcs", bounds=_q3_bounds),
+    "q34": Query(_q3, {**_CITIES, "yearmonth": "Dec1997"}, ("c_city", "s_city", "d_year"), order=_BY_TIME, dimensions="dcs", bounds=_q3_bounds),
+    "q41": Query(_q4, {"c_region": "AMERICA", "s_region": "AMERICA", "mfgrs": ("MFGR#1", "MFGR#2")}, ("d_year", "c_nation"), "profit", ("d_year", "c_nation"), "dcsp", bounds=_q4_bounds),
+    "q42": Query(_q4, {"c_region": "AMERICA", "s_region": "AMERICA", "years": (2000, 2001), "mfgrs": ("MFGR#1", "MFGR#2")}, ("d_year", "s_nation", "p_category"), "profit", ("d_year", "s_nation", "p_category"), "dcsp", bounds=_q4_bounds),
+    "q43": Query(_q4, {"s_nation": "NATION_1", "years": (2000, 2001), "category": "MFGR#14"}, ("d_year", "s_city", "p_brand1"), "profit", ("d_year", "s_city", "p_brand1"), "dsp", bounds=_q4_bounds),
 }
 
 
+def bounds(name: str, **parameters) -> Bounds:
+    """What a query's parameters say of the raw rows, for sources.views.star to push down to the files."""
+    query = QUERIES[name]
+    return query.bounds(**{**query.defaults, **parameters})
+
+
 def measure(query: Query) -> Column:
     if query.cost:
         return F.col("lo_revenue").cast("long") - F.col("lo_supplycost").cast("long")

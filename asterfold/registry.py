@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asterfold import datagen
+from asterfold import datagen, schemas
 from asterfold.family import Family
 from asterfold.functions import calendar, keys, pricing, random, text
 from asterfold.operators import aggregates, columns, integrity, scans
@@ -95,7 +95,7 @@ def _ssb_sql(name: str, source: str = "star") -> str:
 
 def _normalised(name: str):
     q = ssb.QUERIES[name]
-    return lambda spark, sf_dir: ssb.run(name, views.star(spark, sf_dir, q.dimensions, q.cost))
+    return lambda spark, sf_dir: ssb.run(name, views.star(spark, sf_dir, q.dimensions, q.cost, ssb.bounds(name)))
 
 
 def _with_delta(name: str):
@@ -400,6 +400,43 @@ def tbl_roundtrip(spark, sf_dir):
     return tbl.read_tbl(spark, path, "supplier").select(F.col("suppkey").cast("long").alias("s_suppkey"), F.col("name").alias("s_name"), keys.to_int("nation").alias("s_nationkey"))
 
 
+# Text tables of each type, over the driver's tables; columns that these lack are made of their keys.
+_TBL = {
+    "customer": ("customer", "c_custkey custkey, c_name name, 'a' || c_custkey address, '' city, cast(c_nationkey as {string}) nation, ' r' region, '1/2' phone, c_mktsegment mktsegment"),
+    "part": ("part", "p_partkey partkey, p_name name, 'M' mfgr, 'C' category, p_brand brand, '\"q\"' color, p_type type, cast(p_size as {tiny}) size, '' container"),
+    "lineorder": ("lineitem", "l_orderkey orderkey, cast(l_linenumber as {tiny}) linenumber, 7 custkey, l_partkey partkey, l_suppkey suppkey, 19970101 orderdate, '1-URGENT' orderpriority, '0' shippriority, cast(l_quantity as {tiny}) quantity, cast(round(l_extendedprice * 100) as int) extendedprice, -1 ordertotalprice, cast(round(l_discount * 100) as {tiny}) discount, 0 revenue, 5 supplycost, cast(round(l_tax * 100) as {tiny}) tax, 19970102 commitdate, l_returnflag || ' ' shipmode"),
+    "date": ("orders", "cast(o_orderkey as int) datekey, o_orderstatus date, 'Monday' dayofweek, 'May' month, cast(1997 as {small}) year, 199705 yearmonthnum, 'May1997' yearmonth, cast(1 as {tiny}) daynuminweek, cast(2 as {tiny}) daynuminmonth, cast(3 as {small}) daynuminyear, cast(5 as {tiny}) monthnuminyear, cast(20 as {tiny}) weeknuminyear, '' sellingseason, cast(0 as {tiny}) lastdayinweekfl, cast(0 as {tiny}) lastdayinmonthfl, cast(1 as {tiny}) holidayfl, cast(1 as {tiny}) weekdayfl"),
+}
+
+
+def _tbl_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    source, columns_ = _TBL[name]
+    rows = views.table(spark, sf_dir, source).selectExpr(*columns_.format(string="string", tiny="tinyint", small="smallint").split(", "))
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name].fields))
+
+
+def _tbl_sql(name: str) -> str:
+    source, columns_ = _TBL[name]
+    whole = {"byte": "int", "short": "int", "int": "int", "tinyint": "int", "smallint": "int"}
+    out = [f'cast("{f.name}" as {whole.get(f.dataType.simpleString(), "varchar")}) "{f.name}"' for f in schemas.TABLES[name].fields]
+    named = ", ".join(c[: c.rindex(" ")] + ' "' + c[c.rindex(" ") + 1 :] + '"' for c in columns_.format(string="varchar", tiny="int", small="int").split(", "))
+    return f"select {', '.join(out)} from (select {named} from {source})"
+
+
+def _tbl_query(name: str):
+    def f(spark, sf_dir):
+        path = new_path(spark, f"{name}_tbl")
+        tbl.write_tbl(_tbl_source(spark, sf_dir, name), path)
+        back = tbl.read_tbl(spark, path, name)
+        return back.select(*(F.col(n).cast("int").alias(n) if t in ("tinyint", "smallint") else F.col(n) for n, t in back.dtypes))
+
+    return f
+
+
+for _name in _TBL:
+    query(_tbl_sql(_name), f"tbl_{_name}")(_tbl_query(_name))
+
+
 # -- integrity and subsets
 
 @query("select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1")
@@ -542,16 +579,50 @@ def text_numbers(spark, sf_dir):
     return rows.select("p_partkey", keys.to_int("tail").alias("number"), keys.to_int("p_type").alias("junk"), keys.padded("p_brand", 12).alias("padded"))
 
 
-@query("select l_orderkey, l_linenumber from lineitem group by all")
+@query("select l_orderkey, l_linenumber, case when l_orderkey % 2 = 0 then 1 else 3 end \"insert\" from lineitem group by all")
 def insert_dedup(spark, sf_dir):
+    """Of rows of one key the first stays: `insert` numbers the four parts in the order they come in."""
     rows = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    family = Family(spark, new_path(spark, "families"), "keys", "keys", keys=["l_orderkey", "l_linenumber"], schema=rows.schema)
-    family.insert(rows.where("l_orderkey % 2 = 0"), dedup=True)
-    family.insert(rows, dedup=True)
+    numbered = lambda df, n: df.withColumn("insert", F.lit(n))
+    family = Family(spark, new_path(spark, "families"), "keys", "keys", keys=["l_orderkey", "l_linenumber"], schema=numbered(rows, 0).schema)
+    even = rows.where("l_orderkey % 2 = 0")
+    family.insert(numbered(even, 1).union(numbered(even, 2)), dedup=True)
+    family.insert(numbered(rows, 3).union(numbered(rows, 4)), dedup=True)
     family.flush()
     return family.read()
 
 
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey > 500 or (l_orderkey = 500 and l_linenumber >= 3)")
+def fresh_scan_ge(spark, sf_dir):
+    """A scan by key over a written segment and a current one in memory."""
+    family = _fresh(spark, sf_dir)
+    return scans.at_least(family.read(), ["l_orderkey", "l_linenumber"], [500, 3])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey = 77")
+def fresh_lookup(spark, sf_dir):
+    family = _fresh(spark, sf_dir)
+    found = scans.point_lookup(family.read(), l_orderkey=77)
+    return found.union(scans.point_lookup(family.read(), l_orderkey=-1))
+
+
+def _fresh(spark, sf_dir) -> Family:
+    rows = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    family = Family(spark, new_path(spark, "families"), "fresh", "fresh", keys=["l_orderkey", "l_linenumber"], schema=rows.schema)
+    family.append(rows.where("l_orderkey % 3 <> 0"))
+    family.insert(rows.where("l_orderkey % 3 = 0"))
+    return family
+
+
+@query(f"{STAR} select p_brand1, cast(sum(lo_revenue) as bigint) revenue from ssb_lineorder join ssb_part on lo_partkey = p_partkey group by all")
+def sum_by_code(spark, sf_dir):
+    """Summed up by dictionary code, decoded after: sums, not rows, meet the dictionary."""
+    entries = _brands(spark, sf_dir)
+    parts = columns.encode(views.part(spark, sf_dir).select("p_partkey", "p_brand1"), "p_brand1", entries)
+    sums = views.lineorder(spark, sf_dir).join(parts, F.col("lo_partkey") == F.col("p_partkey")).groupBy("code").agg(F.sum("lo_revenue").cast("long").alias("revenue"))
+    return columns.decode(sums, "code", entries).select(F.col("value").alias("p_brand1"), "revenue")
+
+
 @query(f"{STAR} select o, p from (select lo_orderkey o, lo_partkey p from ssb_lineorder where lo_orderkey not between 100 and 199) union all select lo_orderkey, lo_partkey from ssb_lineorder where lo_orderkey between 300 and 349")
 def update_set(spark, sf_dir):
     rows = views.lineorder(spark, sf_dir).select(F.col("lo_orderkey").alias("orderkey"), F.col("lo_partkey").alias("p"))
@@ -564,12 +635,25 @@ def reverse_traverse(spark, sf_dir):
     return rows.select((F.lit(rows.count()) - F.col("pos")).alias("n"), "o_orderkey")
 
 
-@query(None)
+@query("select o_orderkey from orders")
 def permuted_orders(spark, sf_dir):
     return random.permuted(views.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", seed=3)
 
 
-@query(None)
+def _random_sql() -> str:
+    """The same ten queries spelled out."""
+    draw, parts = ssb.RandomQueries(7), []
+    for number in range(10):
+        name, p = draw.draw()
+        if name[:2] == "q1":
+            parts.append(f"select {number} number, '{name}' query, 1 \"rows\"")
+            continue
+        brand = {"q21": lambda p: f"p_category = '{p['category']}'", "q22": lambda p: "p_brand1 between '{}' and '{}'".format(*p["brands"]), "q23": lambda p: f"p_brand1 = '{p['brand']}'"}[name](p)
+        parts.append(f"select {number}, '{name}', count(*) from (select distinct d_year, p_brand1 from star where s_region = '{p['s_region']}' and {brand})")
+    return f"{STAR} {' union all '.join(parts)}"
+
+
+@query(_random_sql())
 def random_queries(spark, sf_dir):
     """Ten random queries' names and how many rows they have."""
     draw, view = ssb.RandomQueries(7), mv.stored(spark, sf_dir)
@@ -586,6 +670,20 @@ def key_counts(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").agg(F.count("*").alias("rows"), F.countDistinct("o_orderkey").alias("distinct_keys"))
 
 
+@query("select 1500 orders, 0 bad_revenue, 0 bad_total, 0 bad_place, 0 no_customer, 0 no_supplier, 0 no_part, 0 no_date")
+def generated_invariants(spark, sf_dir):
+    """What must hold of any generated table, whatever its random values are."""
+    tables = datagen.tables(spark, 0.001)
+    lines = tables["lineorder"]
+    revenue = F.expr("extendedprice * (100 - discount) div 100")
+    own = lines.groupBy("orderkey").agg(F.sum(F.expr("(extendedprice * (100 - discount) div 100) * (100 + tax) div 100")).alias("total"), F.min("ordertotalprice").alias("said"), F.max("linenumber").alias("last"), F.count("*").alias("n"))
+    sums = own.agg(F.count("*").alias("orders"), F.count_if(F.col("total") != F.col("said")).alias("bad_total"), F.count_if(F.col("last") != F.col("n")).alias("bad_place"))
+    out = sums.crossJoin(lines.agg(F.count_if(F.col("revenue") != revenue).alias("bad_revenue")))  # one row each
+    for column, dimension, key in schemas.FOREIGN_KEYS:
+        out = out.crossJoin(integrity.orphans(lines, column, tables[dimension], key).agg(F.count("*").alias(f"no_{dimension}")))
+    return out
+
+
 @query(None)
 def generated_lines(spark, sf_dir):
     return datagen.lineorder(spark, 0.001)

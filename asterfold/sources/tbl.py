@@ -17,7 +17,8 @@ def read_tbl(spark: SparkSession, path: str, table: str, lenient: bool = False)
     """A table from text. A value that is no number fails the read; with lenient it counts as 0.
 
     The schema is given, so that nothing is inferred and only the columns asked for are parsed. Blank lines
-    are skipped. Trailing NUL padding of strings is dropped.
+    are skipped. Trailing NUL padding of strings is dropped, an empty string
+    stays one.
     """
     schema = TABLES[table]
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
@@ -26,7 +27,7 @@ def read_tbl(spark: SparkSession, path: str, table: str, lenient: bool = False)
     for f in schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
-            c = F.rtrim(c, F.lit("\x00"))
+            c = F.coalesce(F.rtrim(c, F.lit("\x00")), F.lit(""))
         elif lenient:
             c = F.coalesce(F.expr(f"try_cast(trim(`{f.name}`) as {f.dataType.simpleString()})"), F.lit(0).cast(f.dataType))
         columns.append(c.alias(f.name))

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIRST_DAY, LAST_DAY = "1995-01-01", "2001-12-31"
 
 
+class Bounds(NamedTuple):
+    """Conditions on the star's columns, in terms of the files' own columns: first and last day, and inclusive
+    ranges of whole per cents and quantities. They are implied by what the caller asks of the star anyway, and are
+    stated so that they reach the scans of orders and lines: files and row groups are skipped, and less is shuffled."""
+
+    days: tuple[str, str] | None = None
+    discount: tuple[int, int] | None = None
+    quantity: tuple[int, int] | None = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,6 +28,9 @@ def cents(column: str):
     return F.round(F.col(column) * 100).cast("long")
 
 
+NO_BOUNDS = Bounds()
+
+
 def dwdate(spark: SparkSession) -> DataFrame:
     days = spark.sql(f"select explode(sequence(date'{FIRST_DAY}', date'{LAST_DAY}', interval 1 day)) as d")
     return days.select(
@@ -49,9 +64,18 @@ def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(table(spark, sf_dir, "customer"), spark, sf_dir, "c", "c_custkey")
 
 
-def lineorder(spark: SparkSession, sf_dir: str, cost: bool = False) -> DataFrame:
+def lineorder(spark: SparkSession, sf_dir: str, cost: bool = False, bounds: Bounds = NO_BOUNDS) -> DataFrame:
     """The fact table. Supply cost needs the part's price: only with `cost` is part joined."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if bounds.days:
+        first, last = (F.lit(d).cast("timestamp") for d in bounds.days)
+        orders = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < last + F.expr("interval 1 day")))
+    if bounds.discount:  # rounded to whole per cents, above; a hair more for doubles
+        low, high = bounds.discount
+        lines = lines.where(F.col("l_discount").between((low - 0.5) / 100 - 1e-9, (high + 0.5) / 100 + 1e-9))
+    if bounds.quantity:  # whole numbers, cut off
+        low, high = bounds.quantity
+        lines = lines.where((F.col("l_quantity") > float(low - 1)) & (F.col("l_quantity") < float(high + 1)))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     extra = []
     if cost:
@@ -68,11 +92,13 @@ def lineorder(spark: SparkSession, sf_dir: str, cost: bool = False) -> DataFrame
     )
 
 
-def star(spark: SparkSession, sf_dir: str, dimensions: str = "dcsp", cost: bool = True) -> DataFrame:
+def star(spark: SparkSession, sf_dir: str, dimensions: str = "dcsp", cost: bool = True, bounds: Bounds = NO_BOUNDS) -> DataFrame:
     """The fact table joined to the dimensions named by their initials; the rest is left out, as foreign keys
     are valid (see operators.integrity). Which side is sent or shuffled is Catalyst's choice by size; only the
     calendar, a fixed few thousand days, is always sent."""
-    df = lineorder(spark, sf_dir, cost)
+    if "d" in dimensions and not bounds.days:
+        bounds = bounds._replace(days=(FIRST_DAY, LAST_DAY))  # the calendar's
+    df = lineorder(spark, sf_dir, cost, bounds)
     if "d" in dimensions:
         df = df.join(F.broadcast(dwdate(spark)), F.col("lo_orderdate") == F.col("d_datekey"))
     if "c" in dimensions:

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from asterfold import datagen
 from asterfold.__main__ import main
@@ -41,6 +42,47 @@ def test_append_merge_erase(spark, engine):
         engine.family("f")
 
 
+def test_families_outlive_the_engine(spark, engine, capsys):
+    rows = datagen.lineorder(spark, 0.001, 0, 10)
+    engine.create_family("f", "lineorder").append(rows, batch="one")
+    again = Engine(spark, engine.path)
+    assert list(again.families) == ["f"] and again.family("f").read().count() == rows.count()
+    assert [tuple(r)[:4] for r in again.describe().collect()] == [("family", "f", "lineorder", 1)]
+    for e in (engine, again):
+        with pytest.raises(KeyError):
+            e.create_family("f", "lineorder")
+    engine.create_family("later", "mv")
+    assert again.family("later").table == "mv"  # made meanwhile by another
+    assert main(["describe", engine.path], spark) == 0
+    shown = capsys.readouterr().out
+    assert "family f of lineorder, key orderkey, linenumber" in shown and f"{rows.count()} rows, batch one" in shown
+    again.erase_family("f")
+    assert "f" not in Engine(spark, engine.path).families
+
+
+def test_first_of_a_key_stays(spark, engine):
+    family = Family(spark, engine.path, "d", "kv", keys=["k"], schema=T._parse_datatype_string("k int, v int"))
+    make = lambda rows: spark.createDataFrame(rows, "k int, v int")
+    family.insert(make([(k % 7, k) for k in range(70)]).coalesce(1), dedup=True)
+    family.insert(make([(k % 9, 100 + k) for k in range(90)]).repartition(1), dedup=True)
+    assert sorted(map(tuple, family.read().where("k < 7").collect())) == [(k, k) for k in range(7)]
+    assert family.read().count() == 9
+
+
+def test_merged_rows_are_in_key_order(spark, engine):
+    family, batches = engine.create_family("o", "lineorder"), datagen.Batches(spark, 0.001)
+    for _ in range(3):
+        family.append(batches.next(30).orderBy(F.rand(1)))
+    merged = family.segment(family.compact())
+    files = merged.select("orderkey", "linenumber", F.input_file_name().alias("f")).collect()  # file by file, in row order
+    by_file = {}
+    for r in files:
+        by_file.setdefault(r["f"], []).append((r["orderkey"], r["linenumber"]))
+    assert all(own == sorted(own) for own in by_file.values())
+    ends = sorted((own[0], own[-1]) for own in by_file.values())
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))  # ranges of their own
+
+
 def test_current_segment(spark, engine):
     family, rows = engine.create_family("c", "lineorder"), datagen.lineorder(spark, 0.001, 0, 10)
     family.insert(rows)
