@@ -4,15 +4,19 @@ A covering code of radius R has a code word within R bits of every value. If two
 bits, every code word within R of the one is within R + t of the other. So each value is sent to all code
 words ("anchors") within R + t, and compared there with the values that have the anchor within R.
 
-A 64-bit fingerprint is cut into three segments; of two fingerprints that differ in at most 4 bits, some
-segment differs in at most t = 1. The code of a segment is a Hamming code on its 15 low bits (radius 1,
-every value at most one bit from exactly one code word) with all values of its other bits: R = 1, anchors
-within R + t = 2. A fingerprint goes to about 15 anchors a segment, of 2^17 or 2^18; no pair is missed.
+A 64-bit fingerprint is cut into segments; of two fingerprints that differ in at most 4 bits, some segment differs
+in at most t. The code of a segment is a Hamming code on its low bits (radius 1, every value at most one bit from
+exactly one code word) with all values of its other bits: R = 1, anchors within R + t. No pair is missed, whatever
+the layout; it is chosen by the number of fingerprints, so that an anchor has few of them: three segments, t = 1,
+codes on 15 bits (43 anchors for each fingerprint, of 2^19), or for more of them two segments, t = 2, codes on 31
+bits (some 340, of 2^28).
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,21 @@ from asterfold.llm.components import components
 from asterfold.llm.shared import shuffle_width, write_table
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-SEGMENTS = ((0, 21), (21, 21), (42, 22))  # lowest bit, bits
-CHECKED = 15
-#: Rows of an anchor that one task compares at once; an anchor with more is split.
-ANCHOR_ROWS = 1 << 18
+
+
+class Layout(NamedTuple):
+    """segments: (lowest bit, bits); checked: bits of the Hamming code; near: bits in which some segment differs."""
+
+    segments: tuple[tuple[int, int], ...]
+    checked: int
+    near: int
+
+
+FEW, MANY = Layout(((0, 21), (21, 21), (42, 22)), 15, 1), Layout(((0, 32), (32, 32)), 31, 2)
+#: Distinct fingerprints from which on MANY costs less than FEW.
+LARGE = 1 << 26
+#: Rows of an anchor, and of these home rows, that are compared at once; an anchor with more is split by both.
+ANCHOR_ROWS, HOME_ROWS = 1 << 18, 1 << 14
 PAIRS = 1 << 22
 
 
@@ -63,12 +78,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
 
 
-def _flips(bits: int) -> list[np.ndarray]:
-    """For each syndrome of the Hamming part: the flips of at most two bits that lead to a code word, the
+@lru_cache(maxsize=8)
+def flips_of(bits: int, checked: int, reach: int) -> list[np.ndarray]:
+    """For each syndrome of the Hamming part: the flips of at most `reach` bits that lead to a code word, the
     nearest code word's (at most one flip, in the Hamming part) first."""
-    spot = [i + 1 if i < CHECKED else 0 for i in range(bits)]  # what a bit adds to the syndrome
-    found: list[list[int]] = [[] for _ in range(CHECKED + 1)]
-    for weight in (0, 1, 2):
+    spot = [i + 1 if i < checked else 0 for i in range(bits)]  # what a bit adds to the syndrome
+    found: list[list[int]] = [[] for _ in range(checked + 1)]
+    for weight in range(reach + 1):
         for chosen in combinations(range(bits), weight):
             s = 0
             for i in chosen:
@@ -81,21 +97,18 @@ def _flips(bits: int) -> list[np.ndarray]:
     return [np.array(m, np.int64) for m in found]
 
 
-FLIPS = {bits: _flips(bits) for bits in {b for _, b in SEGMENTS}}
-
-
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, home) of every anchor within 2 bits of each fingerprint's segments; home: within 1."""
+def anchors(fps: np.ndarray, layout: Layout = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, home) of every anchor within R + t bits of each fingerprint's segments; home: within R."""
     rows, keys, homes = [], [], []
-    for number, (low, bits) in enumerate(SEGMENTS):
+    for number, (low, bits) in enumerate(layout.segments):
         value = (fps >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
         syndrome = np.zeros(len(fps), np.int64)
-        for i in range(CHECKED):
+        for i in range(layout.checked):
             syndrome ^= (value >> i & 1) * (i + 1)
-        for s, flips in enumerate(FLIPS[bits]):
+        for s, flips in enumerate(flips_of(bits, layout.checked, 1 + layout.near)):
             at = np.flatnonzero(syndrome == s)
             rows.append(np.repeat(at, len(flips)))
-            keys.append(((value[at][:, None] ^ flips) | number << 22).ravel())
+            keys.append(((value[at][:, None] ^ flips) | number << 32).ravel())
             homes.append(np.tile(np.arange(len(flips)) == 0, len(at)))
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
@@ -159,24 +172,34 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     if not 0 <= distance <= 4:
         raise ValueError("the segments are laid out for a distance of at most 4")
     spark = distinct.sparkSession
+    count = distinct.count()
+    layout = MANY if count >= LARGE else FEW
 
     def deal(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(fps), 8192):
-                part = fps[at : at + 8192]
-                rows, keys, home = anchors(part)
-                yield pa.RecordBatch.from_arrays([pa.array((keys << 1 | home).astype(np.int32)), pa.array(part[rows].view(np.int64))], ["k", "fp"])
-
-    dealt = distinct.select("fp").mapInArrow(deal, "k int, fp long")
-    dealt = dealt.withColumn("chunk", F.lit(0))
-    busy = dealt.groupBy(F.expr("k >> 1").alias("key")).count().where(F.col("count") > ANCHOR_ROWS)
-    if distinct.count() > ANCHOR_ROWS:  # else no anchor can have so many
-        # Each chunk of a busy anchor gets a share of its rows and all of its home rows: still every comparison.
-        parts = busy.select("key", F.ceil(F.col("count") / ANCHOR_ROWS).cast("int").alias("parts"))
-        own = F.expr("cast(pmod(xxhash64(fp), parts) as int)")
-        chunks = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.expr("k & 1") == 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-        dealt = dealt.drop("chunk").withColumn("key", F.expr("k >> 1")).join(parts, "key", "left").select("k", "fp", F.explode(chunks).alias("chunk"))
+            for at in range(0, len(fps), 8192 // layout.near**2):
+                part = fps[at : at + 8192 // layout.near**2]
+                rows, keys, home = anchors(part, layout)
+                yield pa.RecordBatch.from_arrays([pa.array(keys << 1 | home), pa.array(part[rows].view(np.int64))], ["k", "fp"])
+
+    dealt = distinct.select("fp").mapInArrow(deal, "k long, fp long").withColumn("chunk", F.lit(0))
+    if count > HOME_ROWS:  # else no anchor can have so many
+        # A busy anchor's rows are cut in parts, and its home rows too; each part meets each: every comparison is made.
+        key, home = F.shiftright("k", 1).alias("key"), F.expr("k & 1")
+        sizes = dealt.groupBy(key).agg(F.count("*").alias("rows"), F.sum(home).alias("homes"))
+        busy = sizes.where((F.col("rows") > ANCHOR_ROWS) | (F.col("homes") > HOME_ROWS))
+        parts = busy.select("key", F.ceil(F.col("rows") / ANCHOR_ROWS).cast("int").alias("parts"), F.ceil(F.col("homes") / HOME_ROWS).cast("int").alias("home_parts"))
+        parts, _ = write_table(parts, "parts")
+        split = not parts.isEmpty()
+    if count > HOME_ROWS and split:
+        one = F.expr("cast(pmod(xxhash64(fp), parts) as int)")
+        mine = F.expr("cast(pmod(xxhash64(fp, 1), home_parts) as int)")
+        as_row = F.transform(F.sequence(F.lit(0), F.col("home_parts") - 1), lambda i: F.struct((i * F.col("parts") + one).alias("chunk"), F.lit(False).alias("home")))
+        as_home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct((mine * F.col("parts") + j).alias("chunk"), F.lit(True).alias("home")))
+        places = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("chunk"), (home == 1).alias("home")))).when(home == 1, F.concat(as_home, as_row)).otherwise(as_row)
+        met = dealt.drop("chunk").withColumn("key", F.shiftright("k", 1)).join(parts, "key", "left").select("key", "fp", F.explode(places).alias("place"))
+        dealt = met.select(F.expr("key * 2 + cast(place.home as long)").alias("k"), "fp", F.col("place.chunk").alias("chunk"))
 
     def compare(batches):
         def found(keys, fps, home):
@@ -187,23 +210,25 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, chunk = batch.column(0).to_numpy().astype(np.int64), batch.column(2).to_numpy().astype(np.int64)
-            key = k >> 1 | chunk << 32
-            now = (key, batch.column(1).to_numpy().view(np.uint64), (k & 1).astype(bool))
+            k, chunk = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
+            group = np.stack([k >> 1, chunk])
+            now = (group, batch.column(1).to_numpy().view(np.uint64), (k & 1).astype(bool))
             held.append(now)
-            if key[0] == key[-1] and held[0][0][0] == key[0]:
+            if (group[:, 0] == group[:, -1]).all() and (held[0][0][:, 0] == group[:, 0]).all():
                 continue
-            key, fps, home = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield found(key[:cut], fps[:cut], home[:cut])
-            held = [(key[cut:], fps[cut:], home[cut:])]
+            yield found(*closed(held, last=False))
         if held:
-            key, fps, home = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield found(key, fps, home)
+            yield found(*closed(held, last=True))
+
+    def closed(held, last):
+        """Groups as numbers, fingerprints and homes of all groups in turn that are complete; the rest stays."""
+        group, fps, home = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+        begin = np.r_[True, (group[:, 1:] != group[:, :-1]).any(axis=0)]
+        cut = len(fps) if last else int(np.flatnonzero(begin)[-1])
+        held[:] = [] if last else [(group[:, cut:], fps[cut:], home[cut:])]
+        return np.cumsum(begin)[:cut], fps[:cut], home[:cut]
 
-    order = F.expr("cast(k >> 1 as bigint) | (cast(chunk as bigint) << 32)")
-    met = dealt.repartition(shuffle_width(spark), F.expr("k >> 1"), "chunk").sortWithinPartitions(order)
+    met = dealt.repartition(shuffle_width(spark), F.expr("shiftright(k, 1)"), "chunk").sortWithinPartitions(F.expr("shiftright(k, 1)"), "chunk")
     return met.mapInArrow(compare, "a long, b long")
 
 
@@ -219,8 +244,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     component_id is the smallest id reachable by links of at most `distance` differing bits. Equal
     fingerprints meet in one row before anything is compared, so that copies, however many, cost nothing.
-    Null texts and those without words have fingerprint zero and link like any other. Repeated rows stay.
-    Null ids never name a component unless it has no other id; an empty table gives an empty result.
+    Null and empty texts, and those without words, have fingerprint zero and link like any other; a text of any
+    length counts with all its shingles; a bit that is set in just half of the hashes is 0. Repeated rows stay.
+    Null ids never name a component unless it has no other id; an empty table gives an empty result; other columns
+    are ignored, whatever their names.
     """
     table, distinct, roots = _linked(df, id_col, text_col, distance, shingle)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")

@@ -52,9 +52,12 @@ def test_fingerprints(spark):
     assert df.head()[0] % (1 << 64) == xxhash.xxh64_intdigest("a b c d", 42)
 
 
-@pytest.mark.parametrize("anchor_rows,pairs", [(simhash.ANCHOR_ROWS, simhash.PAIRS), (30, 64)])
-def test_links_connect_what_is_near(spark, monkeypatch, anchor_rows, pairs):
+@pytest.mark.parametrize("large", [simhash.LARGE, 1])
+@pytest.mark.parametrize("anchor_rows,home_rows,pairs", [(simhash.ANCHOR_ROWS, simhash.HOME_ROWS, simhash.PAIRS), (30, 7, 64)])
+def test_links_connect_what_is_near(spark, monkeypatch, anchor_rows, home_rows, pairs, large):
     monkeypatch.setattr(simhash, "ANCHOR_ROWS", anchor_rows)
+    monkeypatch.setattr(simhash, "HOME_ROWS", home_rows)
+    monkeypatch.setattr(simhash, "LARGE", large)
     monkeypatch.setattr(simhash, "PAIRS", pairs)
     rng = np.random.default_rng(4)
     base = [int(x) for x in rng.integers(0, 1 << 63, 120)]
