@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asterfold.llm.shared import remove, write_table
+from asterfold.llm.shared import made, remove, write_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,9 +39,10 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).head()
     before = mark(edges)
     while before[0]:
+        before_step = len(made)
         after, later = write_table(_small_star(_large_star(edges)), "links")
         now = mark(after)
-        remove(links.sparkSession, path)
+        remove(links.sparkSession, path, *(p for p in made[before_step:] if p != later))
         edges, path = after, later
         if now == before:
             break

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asterfold.llm.shared import write_table
+from asterfold.llm.shared import made, remove, write_table
 
 # HTML's elements by what they mean here.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "math")
@@ -330,7 +330,9 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     any length is read whole, in one pass. Repeated rows stay, and count as pages; an empty table gives no rows;
     other columns are ignored, whatever their names. Of slots that hold equally much the deepest is the main one.
     """
-    found, _ = write_table(templates(df, url_col, html_col), "templates")
+    before = len(made)
+    found, path = write_table(templates(df, url_col, html_col), "templates")
+    remove(df.sparkSession, *(p for p in made[before:] if p != path))
     size = found.agg(F.coalesce(F.sum(F.lit(1) + 2 * F.size("slots") + F.size("said")), F.lit(0))).head()[0]
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     pages = pages.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", HOST.pattern, 1)), F.lit("")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Scratch tables of this process, in the order they were made; a caller that has written a result may remove those
+#: that went into it.
+made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own is set only where the session names none."""
+    """The folder of spark.checkpoint.dir. One of our own is set only where the session names none and has no other
+    machines; executors elsewhere couldn't read it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='asterfold-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -26,6 +35,7 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
