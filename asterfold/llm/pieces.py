@@ -53,6 +53,9 @@ class Pieces:
         alphabet = sorted({c for i in plain for c in names[i]})
         self.code = {c: k + 1 for k, c in enumerate(alphabet)}
         self.width = max(len(names[i]) for i in plain)
+        #: Neighbours that some piece joins.
+        self.radix = len(alphabet) + 1
+        self.pairs = np.array(sorted({self.code[a] * self.radix + self.code[b] for i in plain for a, b in zip(names[i], names[i][1:])}), np.int64)  # noqa: B905
         self.score = np.full(n + 1, float(NONE))
         self.score[plain] = [model.get_score(i) for i in plain]
         order = np.array(plain)
@@ -69,6 +72,12 @@ class Pieces:
         """Rows of codes as byte strings that sort like them."""
         return np.ascontiguousarray(codes.astype(">u2")).view(f"S{2 * codes.shape[1]}")[:, 0]
 
+    def parts(self, chunk: str) -> list[str]:
+        """A long chunk, cut between neighbours that no piece joins: no edge can cross there."""
+        codes = np.fromiter((self.code.get(c, 0) for c in chunk), np.int64, len(chunk))
+        cuts = (np.flatnonzero(~np.isin(codes[:-1] * self.radix + codes[1:], self.pairs)) + 1).tolist()
+        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """(positions, lengths) -> the id of the piece there or -1, from a suffix array over codes."""
         padded = np.concatenate([codes, np.zeros(self.width, np.uint16)])
@@ -189,7 +198,7 @@ class Pieces:
         yield from self._encode(group)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [[p for c in CHUNK.findall(SPACE + t.replace(" ", SPACE)) for p in (self.parts(c) if len(c) > LONG else (c,))] if t else [] for t in texts]
         needed = set().union(*split)
         missing = [c for c in needed if c not in self.memo]
         if len(self.memo) + len(missing) > MEMO:
@@ -259,8 +268,11 @@ def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "id
 def round_trip(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_crc32, decoded_crc32, same (whether decoding gave the text again) for every row.
 
-    One pass over whole texts, without a shuffle. A null text counts as empty; ids may be null or repeated;
-    other columns are ignored. A literal space mark (U+2581) in a text decodes to a space, as in the library.
+    One pass over whole texts of any length, without a shuffle; what takes memory (some 150 bytes a character) is a
+    batch of different chunks, or a longer stretch without a space that pieces may join throughout. A null or empty
+    text has no ids; ids may be null or repeated, each row is encoded; an empty table gives no rows; other columns
+    are ignored, whatever their names. Of joints that score equally the leftmost is taken. A literal space mark
+    (U+2581) in a text decodes to a space, as in the library.
     """
 
     def run(batches):

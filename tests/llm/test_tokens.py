@@ -184,7 +184,9 @@ def test_sentencepiece(spark):
     import sentencepiece
 
     model, own = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.Pieces(PIECE)
-    texts = [*EDGES, *fuzz(1500, 5), "<s> </s> <unk> <0x0A>", "▁", "a▁b", " " * 70 + "x", "ab" * 500 + " c"]
+    rng = random.Random(8)
+    solid = ["".join(rng.choices(a, k=k)) for a in ("日本語です。テキスト", "abcXYZ019+/=", "aé日😀\x00b") for k in (60, 200, 5000)]
+    texts = [*EDGES, *fuzz(1500, 5), *solid, "<s> </s> <unk> <0x0A>", "▁", "a▁b", " " * 70 + "x", "ab" * 500 + " c"]
     raws = list(own.encode(texts))
     assert [np.frombuffer(x, "<u4").tolist() for x in raws] == model.encode(texts)
     assert [own.decode(x) for x in raws] == [model.decode(np.frombuffer(x, "<u4").tolist()) for x in raws]
