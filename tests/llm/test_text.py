@@ -464,3 +464,45 @@ def test_pipeline(spark, sf_dir):
         docs = out
     packed = pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_stages_take_any_rows(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long_text = " ".join(f"word{i % 900}" for i in range(60_000))
+    odd = [(None, None, "en", "s", None), (900_001, None, None, None, 0), (900_002, "", "xx", "s", 0), (900_003, long_text, "en", "s", len(long_text)), (None, "a text without an id, of its own", "en", "s", 32)]
+    odd += [(900_004, "one and the same row, twice, with token=abcdef1 in it", None, "s", 53)] * 2
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema)).withColumns({"ids": F.lit("x"), "row": F.lit(1), "fp": F.lit(2), "text2": F.col("text"), "id": F.lit(None).cast("string")}).repartition(3)
+    empty = docs.where("false")
+    stages = dict(pipeline.STAGES)
+    for name in ("quality", "simhash_dedup", "secrets"):
+        out = stages[name](spark, docs, big)
+        assert out.schema.names == docs.schema.names
+        assert stages[name](spark, empty, big).count() == 0
+        rows = out.collect()
+        mine = [r for r in rows if r["doc_id"] is None or r["doc_id"] > 900_000]
+        blank = [r["doc_id"] for r in mine if not r["text"]]
+        if name == "simhash_dedup":
+            assert blank == [900_001] and sum(r["doc_id"] == 900_004 for r in mine) == 1 and sum(r["doc_id"] is None for r in mine) == 1
+        else:
+            assert sorted(blank, key=str) == [900_001, 900_002, None]
+        if name == "secrets":
+            assert len(rows) == docs.count() and [r["text"] for r in mine if r["doc_id"] == 900_004] == ["one and the same row, twice, with [SECRET] in it"] * 2
+            assert all(r["n_chars"] == len(r["text"]) for r in mine if r["doc_id"] == 900_004)
+    packed = stages["packing"](spark, docs, big)
+    rows = packed.select("doc_id", "start", "length", "doc_tokens").collect()
+    assert sum(r["start"] == 0 for r in rows) == docs.count() and stages["packing"](spark, empty, big).count() == 0
+    assert [r["length"] for r in rows if r["doc_id"] == 900_001] == [1] and sum(r["length"] for r in rows if r["doc_id"] == 900_003) > 60_000
+
+
+def test_registered_queries(spark, sf_dir):
+    """Each over its whole table: a row for each document or page, the k best of each query."""
+    from __spark_entry__ import queries
+
+    docs, pages, vectors = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages", "embeddings"))
+    asked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    want = {"op1_simhash": docs, "op2_pieces": docs, "op3_main_text": pages, "op4_secrets": docs, "op6_token_counts": docs, "op7_quality": docs, "op8_token_files": docs, "op9_nearest": asked * min(20, vectors - 1), "op10_top_scores": asked * min(20, vectors - 1)}
+    registered = queries()
+    assert {n: registered[n](spark, sf_dir).count() for n in want} == want
+    assert registered["op5_packing"](spark, sf_dir).where("start = 0").count() == docs
