@@ -73,7 +73,7 @@ class Lists:
             alive, entries = self._read(weight, use, alive, k, slack, least)
         entries += len(alive) * len(use)
         if exact:
-            scores = (self.v[np.ix_(alive, use)] @ weight).astype(np.int64)
+            scores = ((self.v[alive] if len(use) == self.v.shape[1] else self.v[np.ix_(alive, use)]) @ weight).astype(np.int64)
             order = np.lexsort((alive, -scores))[:k]
             return alive[order], scores[order].tolist(), entries
         full = [min(LONG - 1, max(-LONG, sum(int(a) * int(b) for a, b in zip(row, weight, strict=True)))) for row in self.v[np.ix_(alive, use)]]
@@ -105,9 +105,9 @@ class Lists:
                 part = self.values[use[j], span] * weight[j]
                 part += add[j]
                 at = self.order[use[j], span]
-                sums[at] += part  # no candidate is twice in a list
+                np.add.at(sums, at, part)
                 if not tally:
-                    met[at] += 1
+                    np.add.at(met, at, 1)
                 entries += stop - seen
             depth = to
             if tally:
