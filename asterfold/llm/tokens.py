@@ -29,7 +29,7 @@ PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of text handled at once, and the longest word that is merged here.
-WINDOW, LONGEST = 8_000_000, 64
+WINDOW, LONGEST = 4_000_000, 64
 SPACE, LETTER, DIGIT, MARK, FOREIGN = range(5)
 
 
