@@ -308,6 +308,30 @@ def test_thresholds_hold_the_recall(sf_dir):
     assert abs(p.mean() - y.mean()) < 0.02  # calibrated
 
 
+def test_every_document_trains(spark, monkeypatch):
+    """Findings of all documents, each in one shard, train the network and set its thresholds, however they are dealt."""
+    monkeypatch.setattr(secrets, "SHARD", 4_000)
+    texts = [f"line {i} says token={hashlib.md5(str(i).encode()).hexdigest()} to all of them" for i in range(4_000)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found, count, _ = secrets.all_findings(df.unionByName(df.limit(500)).repartition(3))
+    rows = found.collect()
+    want = {f for t in texts for f in (*secrets.findings(t or ""), *secrets.made_in(t or "", 2))}
+    assert count == len(rows) and {tuple(r) for r in rows} == want  # more than 3,000 documents, once each
+    parts, _ = secrets.shards(found, count)
+    assert parts.count() == -(-count // 4_000)
+    batches = parts.toArrow().to_batches()
+    train, held = ([x for b in secrets.opened(batches, h) for x in b[1]] for h in (False, True))
+    assert len(train) + len(held) == count and 0.15 < len(held) / count < 0.25
+    assert {x.tobytes() for x in [*train, *held]} == {x.tobytes() for x in secrets.features([f[:3] for f in want])}
+    one, two = secrets.fitted(df), secrets.fitted(df.repartition(5))
+    assert all(np.allclose(one.network.w[k], two.network.w[k], atol=1e-4) for k in one.network.w) and np.allclose(one.limits, two.limits, atol=1e-3)
+    x, y, kinds = (np.concatenate([b[i] for b in secrets.opened(batches, True)]) for i in (1, 2, 3))
+    p = 1 / (1 + np.exp(-(one.scale * one.network.logits(x) + one.shift)))
+    yes = p >= one.limits[kinds]
+    assert all(yes[(y == 1) & (kinds == f)].mean() >= secrets.RECALL for f in (0, 2)) and yes[y == 0].mean() < 0.05
+    assert secrets.fitted(df.where("text is null")).limits.max() < 1
+
+
 def test_hidden_spans():
     assert secrets.hidden("abcdefgh", [(1, 0, 3), (2, 2, 5), (6, 2, 7)]) == "a[SECRET]f[SECRET]h"
 
