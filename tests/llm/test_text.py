@@ -92,6 +92,27 @@ def test_perplexities(spark, monkeypatch, words, bits, least):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("bits", [quality.SIEVE_BITS, 6])
+def test_vocabulary_of_every_good_document(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality, "SIEVE_BITS", bits)
+    monkeypatch.setattr(quality, "COUNTED", 3_000)
+    monkeypatch.setattr(quality, "WORDS", 40)
+    rng = np.random.default_rng(0)
+    texts = [None if i % 997 == 0 else " ".join(f"w{k}" for k in rng.zipf(1.3, 8) % 5_000) for i in range(23_000)]
+    rows = [(None if i == 5 else i, t, f"l{int(rng.integers(1, 9)) ** 2}") for i, t in enumerate(texts)] + [(7, "again w1", "l1"), (8, "two words", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    good = spark.createDataFrame([(i,) for i in range(22_900) if i % 50], "good int")
+    monkeypatch.setattr(quality, "LANGUAGES", 5)
+    got = quality.vocabularies(df, good, "doc_id", "text", "lang")
+    counts = defaultdict(Counter)
+    for i, t, lang in rows:
+        if i is not None and i < 22_900 and i % 50:
+            counts[lang or ""].update(quality.TOKEN.findall(t or ""))
+    top = {lang: sorted(own.items(), key=lambda x: (-x[1], x[0]))[:40] for lang, own in counts.items()}
+    kept = sorted(top, key=lambda lang: (-sum(n for _, n in top[lang]), lang))[:5]
+    assert got == {lang: {w: k for k, (w, _) in enumerate(top[lang])} for lang in kept}
+
+
 def test_repeats_have_their_classes():
     known = quality.Classes({"two": 0, ".": 1})
     ids = quality.classes("One one. ONE two *** two", known)
