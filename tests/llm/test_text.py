@@ -511,6 +511,20 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_no_stage_reads_a_sample(spark, sf_dir, monkeypatch):
+    def sampled(*_):
+        raise AssertionError("a stage reads a sample")
+
+    import corpus_pipeline
+    from asterfold.llm import packing, shared, simhash
+
+    for module in (packing, quality, secrets, shared, simhash):
+        monkeypatch.setattr(module, "hash_sample", sampled, raising=False)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count()
+
+
 def test_stages_take_any_rows(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     big = sf_dir.replace("sf0.001", "sf0.01")
