@@ -113,6 +113,22 @@ def test_vocabulary_of_every_good_document(spark, monkeypatch, bits):
     assert got == {lang: {w: k for k, (w, _) in enumerate(top[lang])} for lang in kept}
 
 
+def test_thresholds_are_the_quantiles_themselves(spark):
+    """Of very many held-out documents, too."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, n) % 500) for n in rng.integers(4, 12, 80_000)]
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en"}))
+    rows = quality.classify(df.repartition(3), df.select("doc_id", F.lit(1).alias("quality"))).toPandas().set_index("doc_id").sort_index()
+    ids = [quality.classes(t, quality.Classes({})) for t in texts]
+    held = rows[[zlib.crc32(t.encode()) % quality.HELD_OUT == 0 and (x == quality.RUN).sum() <= quality.RUNS * len(x) for t, x in zip(texts, ids, strict=True)]]
+    assert len(held) > 10_000
+    for value, limit in (("perplexity", "threshold"), ("shape_perplexity", "shape_threshold")):
+        x = np.sort(np.log(held[value].to_numpy()))
+        want = x[math.ceil(quality.TAIL * len(x)) - 1] + quality.HAIR
+        assert abs(np.log(rows[limit]) - want).max() < 1e-12
+    assert (rows["keep"] == (rows["perplexity"] <= rows["threshold"]) & (rows["shape_perplexity"] <= rows["shape_threshold"])).all()
+
+
 def test_repeats_have_their_classes():
     known = quality.Classes({"two": 0, ".": 1})
     ids = quality.classes("One one. ONE two *** two", known)
