@@ -198,3 +198,30 @@ def test_sentencepiece(spark):
     again = pieces.decode(pieces.encode(documents(spark), PIECE), PIECE).collect()
     assert sorted(r["text"] for r in again) == sorted(t or "" for _, t in ROWS)
     assert pieces.round_trip(documents(spark, []), PIECE).count() == 0
+
+
+def test_sentencepiece_matches_words_once(monkeypatch):
+    """What differs only in marks that no piece joins to letters is cut from them, and matched once."""
+    own, seen = pieces.Pieces(PIECE), []
+    relax = own.relax
+    monkeypatch.setattr(own, "relax", lambda chunks: seen.extend(chunks) or relax(chunks))
+    words, marks = ["house", "Gruß", "ciudad", "nation", "über"], [".", ",", "!!", "$$$", "&&&", ".\nAnd", ".\nEt"]
+    text = " ".join(w + m for w in words for m in marks)
+    (raw,) = own.encode([text])
+    assert sum(map(len, seen)) <= sum(len(w) + 1 for w in words) + sum(map(len, marks))
+    assert own.decode(raw) == text
+
+
+@pytest.mark.parametrize("memo", [0, 20, 1000])
+def test_sentencepiece_small_windows(monkeypatch, memo):
+    import sentencepiece
+
+    for name, value in (("WINDOW", 60), ("BATCH", 30), ("MEMO", memo), ("LONG", 5)):
+        monkeypatch.setattr(pieces, name, value)
+    model, own = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.Pieces(PIECE)
+    texts = [*fuzz(40, 6), "", "", *EDGES[:14], *fuzz(40, 7, "the house  of nations,.é日▁")]
+    for _ in range(2):
+        raws = list(own.encode(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in raws] == model.encode(texts)
+        assert len(own.memo) <= memo
+    assert list(own.decode_all(raws)) == [model.decode(np.frombuffer(x, "<u4").tolist()) for x in raws]
